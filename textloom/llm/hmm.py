@@ -226,17 +226,17 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
         if taken > HEAD:
             break
         least = 1 << r["b"]
-    head = counts.where(F.col("n") >= least).select("h", "n").toPandas()
+    head = counts.where(F.col("n") >= least).select("h", "n").toArrow()  # HEAD rows at most, as columns: 16 bytes each
     order = np.argsort(head["h"].to_numpy())
     head_h, head_n = head["h"].to_numpy()[order], head["n"].to_numpy()[order]
-    top = counts.where(F.col("h") != F.lit(int(END))).orderBy(F.desc("n"), "h").limit(OWN).select("h", "n").toPandas()
+    top = counts.where(F.col("h") != F.lit(int(END))).orderBy(F.desc("n"), "h").limit(OWN).select("h", "n").toArrow()
     own_h = np.sort(top["h"].to_numpy().astype(np.int64))
     own = spark.createDataFrame([(int(h),) for h in [*own_h, END]], "own long")
     per = {r["cls"]: (r["c"], r["v"]) for r in counts.join(F.broadcast(own), F.col("h") == F.col("own"), "left_anti").groupBy("cls").agg(F.sum("n").alias("c"), F.count("*").alias("v")).collect()}
     room = np.array([sum(per.get(c, (0, 0))) + 1 for c in range(CLASSES)], np.float64)
-    number = dict(zip(top["h"], top["n"], strict=True))
+    number = dict(zip(top["h"].to_pylist(), top["n"].to_pylist(), strict=True))
     ends = next(iter(counts.where(F.col("h") == F.lit(int(END))).select("n").collect()), [0])[0]
-    share = np.array([number.get(h, 0) for h in own_h] + [0] * (OWN - len(own_h)) + [ends] + [per.get(c, (0, 0))[0] for c in range(CLASSES)], np.float64) + 1
+    share = np.array([number.get(int(h), 0) for h in own_h] + [0] * (OWN - len(own_h)) + [ends] + [per.get(c, (0, 0))[0] for c in range(CLASSES)], np.float64) + 1
     share /= share.sum()
     shared = spark.sparkContext.broadcast((head_h, head_n, own_h, np.log10(room), int(ends)))
 
