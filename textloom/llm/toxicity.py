@@ -56,8 +56,8 @@ def bags(w: tok.Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     text[begin + size + 1] = ord(">")
     inner = np.repeat(begin + 1 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     text[inner] = w.data[np.repeat(w.start[of] - begin - 1, size) + inner]
-    owner = np.repeat(np.arange(len(of)), size + 2)
-    places, buckets = [np.arange(len(of))], [w.hash[of]]
+    owner = np.repeat(np.arange(len(of), dtype=np.int32), size + 2)
+    places, buckets = [np.arange(len(of), dtype=np.int32)], [(w.hash[of] & U64(BUCKETS - 1)).astype(np.int32)]
     for n in (3, 4, 5):
         m = len(text) - n + 1
         if m <= 0:
@@ -65,8 +65,8 @@ def bags(w: tok.Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = sum((text[j : m + j].astype(U64) * _FACTOR[j] for j in range(n)), U64(n))
         ok = owner[:m] == owner[n - 1 :]
         places.append(owner[:m][ok])
-        buckets.append(tok.mix(h[ok]))
-    return np.concatenate(places), (np.concatenate(buckets) & U64(BUCKETS - 1)).astype(np.int64)
+        buckets.append((tok.mix(h[ok]) & U64(BUCKETS - 1)).astype(np.int32))
+    return np.concatenate(places), np.concatenate(buckets)
 
 
 def _edges(w: tok.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,9 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         return NOTHING
     y_doc = labels[kept]
     _, some, codes = np.unique(w.hash, return_index=True, return_inverse=True)
-    place, bucket = bags(w, some)
+    parts = [(place + low, bucket) for low in range(0, len(some), 20_000) for place, bucket in [bags(w, some[low : low + 20_000])]]
+    place, bucket = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     # documents a bucket occurs in
     pairs = np.unique(np.stack([w.doc, codes]), axis=1)
     order = np.argsort(place, kind="stable")
@@ -128,8 +130,11 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     size = np.bincount(place, minlength=len(some))
     begin = np.cumsum(size) - size
     spread = lambda c: (np.repeat(begin[c] - (np.cumsum(size[c]) - size[c]), size[c]) + np.arange(size[c].sum()))
-    seen = np.unique(np.repeat(pairs[0], size[pairs[1]]) * BUCKETS + bucket[spread(pairs[1])])
-    spread_over = np.bincount(seen % BUCKETS, minlength=BUCKETS)
+    spread_over = np.zeros(BUCKETS, np.int64)
+    for low in range(0, len(y_doc), 100):  # some documents at a time: a text has many n-grams
+        some_pairs = pairs[:, np.searchsorted(pairs[0], low) : np.searchsorted(pairs[0], low + 100)]
+        seen = np.unique(np.repeat(some_pairs[0] - low, size[some_pairs[1]]) * BUCKETS + bucket[spread(some_pairs[1])])
+        spread_over += np.bincount(seen % BUCKETS, minlength=BUCKETS)
     live = spread_over >= LEAST_DOCS
     first, owner = _edges(w)
     length = np.diff(np.append(first, len(codes)))
@@ -197,8 +202,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Model:
     order = F.xxhash64(id_text()), F.col("doc_id")
     take = [known.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     sample = F.broadcast(take[0].union(take[1]).select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label")))  # 2 * SAMPLE rows at most
-    rows = docs.join(sample, F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).orderBy("label_id").collect()
-    return train([r["text"] for r in rows], [int(r["label"]) for r in rows])
+    rows = docs.join(sample, F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).orderBy("label_id").toArrow()
+    return train(rows["text"].to_pylist(), [int(x) for x in rows["label"].to_pylist()])
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
