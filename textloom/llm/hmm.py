@@ -201,7 +201,7 @@ def train(rows: DataFrame, share: np.ndarray, passes: int = PASSES) -> Model:
             table = (counts.start[None], counts.move, counts.emit)[r["kind"]]
             table[r["idx"]] = [r[n] for n in names]
         m = improved(m, counts, share)
-        shared.unpersist()
+        shared.destroy()
     return m
 
 
@@ -273,6 +273,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
                 )
 
     rows = cut(texts.mapInArrow(encode, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, within double, symbols binary, tail array<struct<h:bigint,times:int>>")).withColumn("rid", F.monotonically_increasing_id())
+    shared.destroy()
     model = spark.sparkContext.broadcast(train(rows, share))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ again, as long as that saves bins.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import words as tok
 from .common import cut, narrow_batches
 
 CAPACITY = 1024
@@ -44,22 +46,25 @@ class Ids:
     """Token ids of a text as tokenizers gives them; with ranks, by tiktoken for all texts without a special token's string."""
 
     def __init__(self, path: str, ranks: str | None):
+        import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.slow, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        self.special = [t["content"] for t in json.JSONDecoder().raw_decode(text, text.index("[", text.index('"added_tokens"')))[0]]
         if ranks:
-            import public_tokenizers
-
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            if self.slow is None:  # read only where it is needed
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.asarray(self.fast.encode_to_numpy(text), np.uint32)
 
 
@@ -89,6 +94,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = No
                     crc.append(zlib.crc32(raw[4 * at : 4 * to]))
                     at = to
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            tok.trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -92,8 +92,8 @@ def _twice(texts: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def _suffixes(texts: DataFrame, table: np.ndarray) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(table)
+def _suffixes(texts: DataFrame, shared) -> DataFrame:
+    """Retained suffixes whose first K words are in the (broadcast) table, with what stands to either side."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -223,7 +223,9 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: the document that keeps the span."""
     narrow_batches(docs.sparkSession)
     texts = docs.select("doc_id", _key().alias("k"), F.col("text").cast("string").alias("text"))
-    rows = cut(_suffixes(texts, _twice(texts)))
+    table = docs.sparkSession.sparkContext.broadcast(_twice(texts))  # 2 ** BITS bits
+    rows = cut(_suffixes(texts, table))
+    table.destroy()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, k long, span long, start int, end int, g long, pos int, left binary, right binary, task int, side int"
     parts = []

@@ -5,6 +5,7 @@ Word hashes are 64 bits; equal words have equal hashes, different ones collide w
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,11 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes worked on at once. A longer text is a chunk of its own and is cut at separators.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # no such C library here
+    _trim = None
 _MULTIPLIER = U64(0x9E3779B97F4A7C15)
 
 
@@ -126,6 +131,14 @@ def chunks(texts: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.nd
         high = max(low + 1, int(np.searchsorted(at, at[low] + most, side="right")) - 1)
         yield low, high, data[at[low] : at[high]], at[low : high + 1] - at[low]
         low = high
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a Python worker no longer uses back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 _powers: list[np.ndarray] = []
