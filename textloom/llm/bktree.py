@@ -88,7 +88,7 @@ def components(prints: np.ndarray, starts: np.ndarray, radius: int, alike: Calla
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
         if alike is not None and len(a):
-            ok = np.concatenate([alike(a[i : i + 100_000], b[i : i + 100_000]) for i in range(0, len(a), 100_000)])
+            ok = np.concatenate([alike(a[i : i + 20_000], b[i : i + 20_000]) for i in range(0, len(a), 20_000)])
             a, b = a[ok], b[ok]
         union(label, a, b)
 

@@ -254,7 +254,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
                 is_own = own_h[mine] == h if len(own_h) else np.zeros(len(h), bool)
                 symbol = np.where(is_own, mine, OWN + 1 + cls[first])[back]
                 n, firsts = w.texts, w.firsts()
-                per_doc = lambda x: np.bincount(w.doc, x, minlength=n)
+                per_doc = lambda x: np.bincount(w.doc, x, minlength=n).astype(np.float64)
                 log_c = np.log10(c + 1)[back]
                 in_class = ~is_own[back]
                 rest = ~known[back]

@@ -8,7 +8,7 @@ broadcast from the driver, since the driver must not gather the fingerprints of
   near fingerprints (radius r): one shard for each value of each of r + 1 blocks of bits. Two fingerprints that differ
     in at most r bits agree in one block whole, so every link is met (pigeonhole).
   similar texts (Jaccard similarity of shingles): one shard for each value of each band of min-hashes; a link must lie
-    within the radius and its min-hash signatures must agree in so large a share.
+    within the radius, and the similarity that sketches of its texts' shingles show must be large enough.
 A shard with more than SHARD rows is split; each pair of its parts is a task.
 """
 
@@ -30,9 +30,13 @@ SEED = 42
 SHARD = 20_000
 U64 = np.uint64
 _LANES = U64(0x0101010101010101)
-#: Min-hashes: BANDS bands of ROWS for meeting, all SIGNATURE of them for judging similarity.
-BANDS, ROWS, SIGNATURE = 16, 3, 96
-_FACTORS = tok.mix(np.arange(1, SIGNATURE + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
+#: Min-hashes by which texts meet: at a similarity of 0.8 a pair misses all bands with a chance of 0.0008.
+BANDS, ROWS = 10, 3
+#: Cells of a text's sketch, by which similarity is judged: exact up to collisions for texts with fewer shingles, a sample for others.
+CELLS = 256
+#: Sketches err by 0.01 (short texts) to 0.025; a link is accepted from similarity less SLACK, so that hardly one at the threshold is lost.
+SLACK = 0.04
+_FACTORS = tok.mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 
 
 def shingle_hashes(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,15 +77,32 @@ def fingerprints(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
 
 
 def min_hashes(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """SIGNATURE min-hashes for each text; all ones for a text without words."""
+    """BANDS * ROWS min-hashes for each text; all equal for texts without words."""
     some = np.diff(edge) > 0
-    out = np.full((len(some), SIGNATURE), ~U64(0), U64)
+    out = np.full((len(some), BANDS * ROWS), ~U64(0), U64)
     if some.any():
         for j, factor in enumerate(_FACTORS):
             out[some, j] = np.minimum.reduceat(hashes * factor, edge[:-1][some])
     return tok.mix(out)
 
 
+def sketches(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """For each text CELLS bytes: of the shingles that fall in a cell the least one's mark (1 to 255), 0 for an empty cell."""
+    out = np.zeros((len(edge) - 1, CELLS), np.uint8)
+    if len(hashes):
+        h = tok.mix(hashes)
+        key = np.repeat(np.arange(len(edge) - 1), np.diff(edge)) * CELLS + (h >> U64(56)).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+        out.ravel()[key[order][heads]] = tok.mix(np.minimum.reduceat(h[order], heads)) % U64(255) + U64(1)
+    return out
+
+
+def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of shingles, from the cells that either text has."""
+    return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
+
+
 def with_fingerprints(docs: DataFrame, shingle: int, signed: bool = False) -> DataFrame:
     """docs' columns doc_id, text's fingerprint fp (long) and, if signed, bands (array of keys) and sig (binary)."""
     narrow_batches(docs.sparkSession)
@@ -93,9 +114,9 @@ def with_fingerprints(docs: DataFrame, shingle: int, signed: bool = False) -> Da
                 cols = [b.column(0).slice(low, high - low), pa.array(fingerprints(hashes, edge).view(np.int64))]
                 if signed:
                     sig = min_hashes(hashes, edge)
-                    keys = sum((tok.mix(sig[:, r : BANDS * ROWS : ROWS] + U64(r)) for r in range(ROWS)), np.zeros((1, 1), U64)) + np.arange(BANDS, dtype=U64)
+                    keys = sum((tok.mix(sig[:, r::ROWS] + U64(r)) for r in range(ROWS)), np.zeros((1, 1), U64)) + np.arange(BANDS, dtype=U64)
                     flat = pa.array(tok.mix(keys).view(np.int64).ravel())
-                    cols += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32)), flat), pa.array([x.tobytes() for x in (sig & U64(0xFFFF)).astype(np.uint16)], pa.binary()), b.column(2).slice(low, high - low)]
+                    cols += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32)), flat), pa.array([x.tobytes() for x in sketches(hashes, edge)], pa.binary()), b.column(2).slice(low, high - low)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "bands", "sig", "k"][: len(cols)])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long" + ", bands array<bigint>, sig binary, k long" * signed
@@ -133,8 +154,8 @@ def links(items: DataFrame, radius: int, similarity: float | None = None) -> Dat
             new = np.append(True, (key[1:] != key[:-1]) | (task[1:] != task[:-1]))
             alike = None
             if similarity is not None:
-                sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(len(ids), SIGNATURE)
-                alike = lambda a, b: (sig[a] == sig[b]).mean(axis=1) >= similarity
+                sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), CELLS)
+                alike = lambda a, b: sketch_similarity(sig[a], sig[b]) >= similarity - SLACK
             label = components(fp, np.flatnonzero(new), radius, alike)
             out = label != np.arange(len(label))
             return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[label[out]])], ["u", "v"])
@@ -198,7 +219,7 @@ def _text_key() -> Column:
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18) -> DataFrame:
     """doc_id, k, kept_id, kept for each row of docs: one document of each group of similar texts is kept, that with the smallest doc_id.
 
-    Texts link if their signatures of min-hashes over shingles agree in a share of similarity and their fingerprints lie
+    Texts link if the similarity of their sketches of shingles reaches the given one and their fingerprints lie
     within radius (generous: at a similarity of 0.8, 64-bit fingerprints differ in 10 bits on average). k: a digest of id and text.
     """
     rows = cut(with_fingerprints(docs, shingle, signed=True)).withColumn("id", F.xxhash64("fp", "sig"))
