@@ -9,8 +9,8 @@ partitions, and each suffix and the first document of its run, are compared and
 to the right. A second order, by what stands to the left, finds partners that the first separates. Matches of successive
 suffixes overlap, so their union is the whole passage however long.
 
-Of each shared span the place in the smallest (doc_id, text) is kept; a word is redundant if any of its spans is kept
-in another document. As that order is total, some place of every span is kept whole.
+Of two places of a span that in the larger (doc_id, text) is redundant. As that order is total, some place of every span
+is kept whole: where the smaller place is redundant too, a smaller one still holds it.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ CONTEXT = WINDOW - 1
 #: Bits in the table of hashes that occur twice, and in each of the parts it is made of.
 BITS, PART_BITS = 27, 20
 U64 = np.uint64
-_LEFT = tok.mix(np.arange(1, CONTEXT + 1, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
-_RIGHT = tok.mix(np.arange(1, CONTEXT + 1, dtype=U64) * U64(0xA5A3564E27F8862F)) | U64(1)
 
 
 def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
@@ -123,7 +121,7 @@ def _suffixes(texts: DataFrame, shared) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, k long, g long, pos int, left binary, right binary")
 
 
-_SPAN = ("doc_id", "k", "span", "start", "end")
+_SPAN = ("doc_id", "k", "start", "end", "keeper", "redundant")
 _EDGE = ("g", "pos", "left", "right", "task", "side")
 
 
@@ -135,29 +133,31 @@ class _Rows:
         self.k, self.g, self.pos = (t[c].to_numpy() for c in ("k", "g", "pos"))
         self.left, self.right = (np.frombuffer(b"".join(t[c].to_pylist()), "<u4").reshape(len(self.k), CONTEXT) for c in ("left", "right"))
 
+        # order of documents: (doc_id, k), then place
+        self.rank = np.argsort(np.lexsort([self.pos, self.k, _ids(t)]))
+
     def matches(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, span, start, end) of both ends of each pair x, y that shares MIN_WORDS words or more."""
+        """(row, partner, words to the left, to the right) of both ends of each pair x, y that shares MIN_WORDS words or more."""
         ok = (self.g[x] == self.g[y]) & (self.k[x] != self.k[y])
         x, y = x[ok], y[ok]
-        same = [np.logical_and.accumulate((a[x] == a[y]) & (a[x] > 0), axis=1) for a in (self.left, self.right)]
-        a, b = (s.sum(axis=1) for s in same)
+        a, b = (np.logical_and.accumulate((side[x] == side[y]) & (side[x] > 0), axis=1).sum(axis=1) for side in (self.left, self.right))
         ok = a + b + K >= MIN_WORDS
         x, y, a, b = x[ok], y[ok], a[ok], b[ok]
-        span = self.g[x].view(U64).copy()
-        for s, side, factor in zip(same, (self.left, self.right), (_LEFT, _RIGHT), strict=True):
-            span += (np.where(s[ok], side[x], 0).astype(U64) * factor).sum(axis=1, dtype=U64)
-        span = tok.mix(span + (a * 64 + b).astype(U64)).view(np.int64)
-        return np.concatenate([x, y]), np.concatenate([span, span]), np.concatenate([self.pos[x] - a, self.pos[y] - a]), np.concatenate([self.pos[x] + K + b, self.pos[y] + K + b])
-
-
-def _batch(t: pa.Table, row, span, start, end) -> pa.RecordBatch:
-    once = np.unique(np.stack([span, t["k"].to_numpy()[row], start]), axis=1, return_index=True)[1] if len(row) else np.zeros(0, np.int64)
-    row, span, start, end = (x[once] for x in (row, span, start, end))
-    at = pa.array(row)
-    t = t.combine_chunks()
-    columns = [t["doc_id"].combine_chunks().take(at), t["k"].combine_chunks().take(at), pa.array(span, pa.int64()), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))]
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-    return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(row), kind) for kind in kinds], [*_SPAN, *_EDGE])
+        return np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([a, a]), np.concatenate([b, b])
+
+    def spans(self, row, partner, a, b) -> pa.RecordBatch:
+        """Of each row one span for smaller partners (redundant: these hold it too) and one for larger ones (kept): what it shares with any."""
+        redundant = self.rank[partner] < self.rank[row]
+        key, back = np.unique(row * 2 + redundant, return_inverse=True)
+        left, right, low = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.full(len(key), len(self.k))
+        np.maximum.at(left, back, a)
+        np.maximum.at(right, back, b)
+        np.minimum.at(low, back, self.rank[np.where(redundant, partner, row)])
+        row, flag, keeper = key // 2, key % 2 == 1, np.argsort(self.rank)[np.minimum(low, max(0, len(self.k) - 1))]
+        ids, k = _one(self.t["doc_id"]), _one(self.t["k"])
+        columns = [ids.take(pa.array(row)), k.take(pa.array(row)), pa.array((self.pos[row] - left).astype(np.int32)), pa.array((self.pos[row] + K + right).astype(np.int32)), ids.take(pa.array(keeper)), pa.array(flag)]
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(row), kind) for kind in kinds], [*_SPAN, *_EDGE])
 
 
 def _one(x) -> pa.Array:
@@ -169,37 +169,35 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, held, kept, first = TaskContext.get().partitionId(), [], None, None
 
     def edge(t: pa.Table, side: int) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        return pa.RecordBatch.from_arrays([_one(t["doc_id"]), _one(t["k"]), *(pa.nulls(1, x) for x in (pa.int64(), pa.int32(), pa.int32())), *(_one(t[c]) for c in _EDGE[:4]), pa.array([task], pa.int32()), pa.array([side], pa.int32())], [*_SPAN, *_EDGE])
+        n, ids = t.num_rows, _one(t["doc_id"])
+        nothing = (pa.int32(), pa.int32(), ids.type, pa.bool_())
+        return pa.RecordBatch.from_arrays([ids, _one(t["k"]), *(pa.nulls(n, x) for x in nothing), *(_one(t[c]) for c in _EDGE[:4]), pa.array([task] * n, pa.int32()), pa.array([side] * n, pa.int32())], [*_SPAN, *_EDGE])
 
-    def solve(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table]:
+    def solve(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table, pa.Table]:
         r = _Rows(t)
         n = np.arange(len(r.k))
-        new = np.append(True, r.g[1:] != r.g[:-1])
-        # the first document of each run of equal hashes; ties by place
-        rank = np.argsort(np.lexsort([r.pos, r.k, _ids(t)]))
-        heads = np.flatnonzero(new)
-        lead = np.argsort(rank)[np.minimum.reduceat(rank, heads)]
+        # the first document of each run of equal hashes
+        heads = np.flatnonzero(np.append(True, r.g[1:] != r.g[:-1]))
+        lead = np.argsort(r.rank)[np.minimum.reduceat(r.rank, heads)]
+        begin = t.take(pa.array(sorted({0, int(lead[0])})))
         lead = np.repeat(lead, np.diff(np.append(heads, len(n))))
-        a, b = r.matches(n[:-1], n[1:]), r.matches(lead, n)
-        return _batch(t, *(np.concatenate(x) for x in zip(a, b, strict=True))), t.take(pa.array(sorted({int(lead[-1]), len(n) - 1})))
+        pairs = (np.concatenate(x) for x in zip(r.matches(n[:-1], n[1:]), r.matches(lead, n), strict=True))
+        return r.spans(*pairs), begin, t.take(pa.array(sorted({int(lead[-1]), len(n) - 1})))
 
     for b in batches:
-        if not b.num_rows:
-            continue
-        if first is None:
-            first = True
-            yield edge(pa.Table.from_batches([b.slice(0, 1)]), 0)
-        held.append(pa.Table.from_batches([b]))
+        if b.num_rows:
+            held.append(pa.Table.from_batches([b]))
         if sum(x.num_rows for x in held) >= 20_000:
-            out, kept = solve(pa.concat_tables(([kept] if kept is not None else []) + held))
-            held = []
+            out, begin, kept = solve(pa.concat_tables(([kept] if kept is not None else []) + held).combine_chunks())
+            first, held = first or begin, []
             yield out
     if held:
-        out, kept = solve(pa.concat_tables(([kept] if kept is not None else []) + held))
+        out, begin, kept = solve(pa.concat_tables(([kept] if kept is not None else []) + held).combine_chunks())
+        first = first or begin
         yield out
-    if kept is not None:
-        yield edge(kept.slice(kept.num_rows - 1), 1)
+    if kept is not None:  # the first and last row, and the leads of their runs
+        yield edge(first, 0)
+        yield edge(kept, 1)
 
 
 def _ids(t: pa.Table) -> np.ndarray:
@@ -211,35 +209,35 @@ def _ids(t: pa.Table) -> np.ndarray:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of rows at the edges of neighbouring partitions (four rows of each at most), and of these and their run's lead."""
     held = [b for b in batches if b.num_rows]
     if held:
-        t = pa.Table.from_batches(held)
-        task = t["task"].to_numpy()
-        n = np.flatnonzero(task[1:] != task[:-1])
-        yield _batch(t, *_Rows(t).matches(n, n + 1))
+        t = pa.Table.from_batches(held).combine_chunks()
+        r, n = _Rows(t), np.arange(t.num_rows)
+        heads = np.flatnonzero(np.append(True, r.g[1:] != r.g[:-1]))
+        lead = np.repeat(np.argsort(r.rank)[np.minimum.reduceat(r.rank, heads)], np.diff(np.append(heads, len(n))))
+        pairs = [r.matches(n[:-step], n[step:]) for step in (1, 2, 3) if len(n) > step] + [r.matches(lead, n)]
+        yield r.spans(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
 
 
 def shared_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: the document that keeps the span."""
+    """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: a smaller document that has it, or the document itself."""
     narrow_batches(docs.sparkSession)
     texts = docs.select("doc_id", _key().alias("k"), F.col("text").cast("string").alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(_twice(texts))  # 2 ** BITS bits
     rows = cut(_suffixes(texts, table))
     table.destroy()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, k long, span long, start int, end int, g long, pos int, left binary, right binary, task int, side int"
+    schema = f"doc_id {kind}, k long, start int, end int, keeper {kind}, redundant boolean, g long, pos int, left binary, right binary, task int, side int"
     parts = []
     for order in (("g", "right", "left", "k", "pos"), ("g", "left", "right", "k", "pos")):
         found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare, schema))
-        edges = found.where(F.col("side").isNotNull()).select("doc_id", "k", "g", "pos", "left", "right", "task", "side")  # two rows a partition
+        edges = found.where(F.col("side").isNotNull()).select("doc_id", "k", "g", "pos", "left", "right", "task", "side")  # four rows a partition at most
         parts += [found.where(F.col("side").isNull()).select(*_SPAN), edges.coalesce(1).sortWithinPartitions("task", "side").mapInArrow(_across, schema).select(*_SPAN)]
     spans = parts[0]
     for x in parts[1:]:
         spans = spans.unionByName(x)
-    spans = spans.groupBy("span", "k", "start").agg(F.first("doc_id").alias("doc_id"), F.first("end").alias("end"))
-    keep = spans.groupBy("span").agg(F.min(F.struct("doc_id", "k")).alias("keep"))
-    both = spans.join(keep, "span")
-    return both.select("doc_id", "k", "start", "end", F.col("keep.doc_id").alias("keeper"), (F.col("keep.k") != F.col("k")).alias("redundant"))
+    return spans
 
 
 def passages(docs: DataFrame) -> DataFrame:
