@@ -153,6 +153,10 @@ class _Rows:
         np.maximum.at(left, back, a)
         np.maximum.at(right, back, b)
         np.minimum.at(low, back, self.rank[np.where(redundant, partner, row)])
+        # a kept span within a redundant one of the same row says nothing more
+        after = np.append(key[1:] == key[:-1] + 1, False) & (key % 2 == 0) if len(key) else np.zeros(0, bool)
+        covered = after & (np.append(left[1:], 0) >= left) & (np.append(right[1:], 0) >= right) if len(key) else after
+        key, left, right, low = (x[~covered] for x in (key, left, right, low))
         row, flag, keeper = key // 2, key % 2 == 1, np.argsort(self.rank)[np.minimum(low, max(0, len(self.k) - 1))]
         ids, k = _one(self.t["doc_id"]), _one(self.t["k"])
         columns = [ids.take(pa.array(row)), k.take(pa.array(row)), pa.array((self.pos[row] - left).astype(np.int32)), pa.array((self.pos[row] + K + right).astype(np.int32)), ids.take(pa.array(keeper)), pa.array(flag)]
@@ -223,6 +227,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: a smaller document that has it, or the document itself."""
     narrow_batches(docs.sparkSession)
+    # ranges of even size also where one passage fills many of them
+    docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "1000")
     texts = docs.select("doc_id", _key().alias("k"), F.col("text").cast("string").alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(_twice(texts))  # 2 ** BITS bits
     rows = cut(_suffixes(texts, table))
