@@ -228,7 +228,7 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: a smaller document that has it, or the document itself."""
     narrow_batches(docs.sparkSession)
     # ranges of even size also where one passage fills many of them
-    docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "1000")
+    docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "200")
     texts = docs.select("doc_id", _key().alias("k"), F.col("text").cast("string").alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(_twice(texts))  # 2 ** BITS bits
     rows = cut(_suffixes(texts, table))
