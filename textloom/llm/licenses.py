@@ -1,7 +1,7 @@
 """License scans by diagonal voting.
 
 All rolling K-word hashes of the texts meet the positions of the same hashes in templates in a Spark join (a fixed
-table of bits, made from the templates, first drops hashes that no template has). A shared hash at word p of a text and
+list of the templates' hashes first drops those that no template has). A shared hash at word p of a text and
 word q of a template votes for the diagonal p - q; votes are summed by diagonal, neighbouring diagonals are merged, and
 each merged span is verified word by word against its template.
 """
@@ -55,9 +55,9 @@ def template_positions(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
 
 
 def _first_pass(docs: DataFrame, templates) -> DataFrame:
+    known = np.unique(np.concatenate([tok.grams(_hashes(text), K) for _, text in templates]))
     bits = np.zeros(1 << 16, bool)
-    for _, text in templates:
-        bits[(tok.grams(_hashes(text), K) & tok.U64(0xFFFF)).astype(np.int64)] = True
+    bits[(known & tok.U64(0xFFFF)).astype(np.int64)] = True
     phrases = [(_hashes(p), label) for p, label in BASE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,6 +83,7 @@ def _first_pass(docs: DataFrame, templates) -> DataFrame:
                         labels[x].add(label)
                 g = tok.grams(w.hash, K)
                 i = np.flatnonzero(bits[(g & tok.U64(0xFFFF)).astype(np.int64)] & tok.same_text(w.doc, K))
+                i = i[np.isin(g[i], known)]
                 edge = np.searchsorted(w.doc[i], np.arange(n + 1))
                 hits = pa.StructArray.from_arrays([pa.array(g[i].view(np.int64)), pa.array((i - firsts[w.doc[i]]).astype(np.int32))], ["gram", "pos"])
                 # true hits are rare, so the words travel only with the few texts that have a hit
