@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scoring, text
 from textloom.operators import catalog, coverage, matching
-from textloom.sources import container, dictionary
+from textloom.sources import container, dictionary, reports
 from textloom.streaming import capture as stream
 
 
@@ -104,3 +104,44 @@ def test_stream(spark, tmp_path):
     q = stream.start(stream.residual_words(stream.read(spark, str(tmp_path / "in")), ["the"], [], []), str(tmp_path / "out"), str(tmp_path / "ckpt"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).select("words").first()[0] == ["keep", "word"]
+
+
+def test_sections():
+    elf = bytearray(b"\x7fELF" + bytes(60) + struct.pack("<2I6Q", 1, 5, 100, 0, 0, 50, 50, 0) + struct.pack("<2I6Q", 2, 0, 0, 0, 0, 999, 0, 0))
+    struct.pack_into("<Q", elf, 32, 64)
+    struct.pack_into("<2H", elf, 54, 56, 2)
+    assert container.sections(bytes(elf)) == [(100, 150)] and container.containing(bytes(elf), 149) == (100, 150)
+    with pytest.raises(ValueError):
+        container.containing(bytes(elf), 150)
+    mach = b"\xcf\xfa\xed\xfe" + bytes(12) + struct.pack("<I", 2) + bytes(12) + struct.pack("<2I", 7, 8) + struct.pack("<2I16s4Q4I", 0x19, 72, b"x", 0, 0, 10, 5, 0, 0, 0, 0)
+    assert container.sections(mach) == [(10, 15)]
+    pe = bytearray(0x40 + 24 + 40)
+    pe[:2] = b"MZ"
+    struct.pack_into("<I", pe, 0x3C, 0x40)
+    struct.pack_into("<H", pe, 0x46, 1)
+    struct.pack_into("<2I", pe, 0x40 + 24 + 16, 7, 20)
+    assert container.sections(bytes(pe)) == [(20, 27)]
+
+
+def test_numbered_against_sorting(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([None, 1, 1, 1, rng.randrange(50)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, v int")
+    want = {i: k for k, (i, v) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0])), 1)}
+    assert {r["id"]: r["place"] for r in catalog.numbered(df, F.col("v"), "id", slots=8).collect()} == want
+    assert catalog.numbered(df.limit(0), F.col("v"), "id").count() == 0
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([(0, 'a "b"\nc', "x"), (1, "d", "y")], "part int, text string, src string")
+    reports.write_candidates(df, str(tmp_path / "c"))
+    assert sorted(r["text"] for r in spark.read.option("header", True).csv(str(tmp_path / "c/csv")).collect()) == ["a 'b' c", "d"]
+    reports.write_groups(df, str(tmp_path / "g"), todo="__TODO__")
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "g")).select("src", "dst", "part").collect())) == [("x", "__TODO__", 0), ("y", "__TODO__", 1)]
+    reports.write_whitelist(df.union(df), str(tmp_path / "w"))
+    assert [r["text"] for r in spark.read.json(str(tmp_path / "w")).collect()].count("d") == 1
+
+
+def test_resolved_sentinels(spark):
+    df = spark.createDataFrame([(1, "A${x}B A${z}B"), (2, None)], "id long, buffer string")
+    assert sorted(map(tuple, catalog.resolve(df, [("n", "A", "B"), ("n", "A", "B")]).collect())) == [(1, "n", 1, "${x}"), (1, "n", 2, "${z}")]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -64,9 +66,41 @@ def merge_versions(items: DataFrame) -> DataFrame:
     return items.groupBy("src").agg(F.min_by("score", "ord").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "version"))), lambda x: x["version"]).alias("versions"))
 
 
-def round_robin(items: DataFrame, n: int, *order, slots: int = 256) -> DataFrame:
-    """items with part: place in order modulo n. The order is total: its columns must be unique."""
-    return items.withColumn("part", ((F.row_number().over(W.orderBy(*order)) - 1) % n).cast("long"))
+def numbered(items: DataFrame, lead: Column, *ties: str, slots: int = 256) -> DataFrame:
+    """items with place: their number, from 1, in the order of a number lead and of the columns ties, which is total.
+
+    Items are dealt to slots by bounds on lead, a slot is ordered in one task, and what stands in the slots before is
+    added; bounds only steer how even slots are, so an approximation of them does. A null lead comes first.
+    """
+    items = items.withColumn("_lead", lead.cast("double"))
+    bounds = items.agg(F.percentile_approx("_lead", [i / slots for i in range(1, slots)]).alias("b")).first()["b"] or []
+    items = items.withColumn("_slot", F.aggregate(F.array(*[F.lit(x) for x in sorted(set(bounds))]).cast("array<double>"), F.lit(0), lambda n, x: n + F.coalesce(x < F.col("_lead"), F.lit(False)).cast("int")))
+    sizes = items.groupBy("_slot").agg(F.count("*").alias("_n"))  # at most as many rows as there are slots
+    before = sizes.select("_slot", F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_slot").orderBy("_lead", *ties))
+    return items.join(F.broadcast(before), "_slot").withColumn("place", own + F.col("_before")).drop("_lead", "_slot", "_before")
+
+
+def round_robin(items: DataFrame, n: int, lead: Column, *ties: str) -> DataFrame:
+    """items with part: place in order modulo n."""
+    return numbered(items, lead, *ties).withColumn("part", ((F.col("place") - 1) % n).cast("long")).drop("place")
+
+
+def sentinels_in(text: Column, declared: list[str]) -> Column:
+    """Declared sentinel names in text, each once, in the order they are first seen."""
+    return F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{(__[A-Z0-9_]+__)\}"), F.lit(1))), F.array(*[F.lit(n) for n in declared]))
+
+
+def resolve(buffers: DataFrame, declared: list[tuple[str, str, str]]) -> DataFrame:
+    """id, name, k, var of the k-th variable (from 1) that resolve_sentinels finds for each name in each buffer (id, buffer)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, name, k, v) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for name, found in resolve_sentinels(t or "", declared).items() for k, v in enumerate(found, 1)]
+            kinds = (b.schema.field(0).type, pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["id", "name", "k", "var"])
+
+    return buffers.select("id", "buffer").mapInArrow(run, f"id {buffers.schema['id'].dataType.simpleString()}, name string, k long, var string")
 
 
 def merge_whitelist(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1 +1,3 @@
 """Queries with their SQL counterparts."""
+
+from . import queries, tools  # noqa: F401  (tools adds to the queries)

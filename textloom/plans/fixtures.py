@@ -37,3 +37,9 @@ CAPTURES = [
     (4, '{"tools":["wrong",{"name":"mcp__x","description":"outside"},{"description":7}]}'),
     (5, None),
 ]
+WHITE = ["the", "no such phrase here", "ing", "qzxv"]
+FORMS = ["plain", 'say "hi" to ${x}', "it's\nnew", "é `tick` \\"]
+MARKED = [(1, "${__TWO__} and ${__NAME__} and ${__TWO__}"), (2, "nothing"), (3, "${__OTHER__} ${__NAME__} ${__name__}")]
+BUFFERS = [(1, "A${x}B A${y}C A${z}B ${$w}Q"), (2, "none"), (3, None)]
+DECLARED = [("n", "A", "B"), ("n", "A", "B"), ("n", "A", "B"), ("m", "", "Q")]
+HEADS = [(1, "7F454C4602"), (2, "CFFAEDFE07"), (3, "CAFEBABE00"), (4, "4D5A9000"), (5, "76617220"), (6, "7F")]

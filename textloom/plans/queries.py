@@ -154,13 +154,18 @@ def audit_overlap(spark, d):
     return found.groupBy("key_id").agg(F.count("*").alias("hits"), F.count_if("conflict").alias("conflicts"))
 
 
-@query
-def hits_in_spans(spark, d):
+def _inside(spark, d):
+    """Hits, and whether each lies in one line."""
     lines = documents(spark, d).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
     order = W.partitionBy("id").orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.char_length("line") + 1).over(order), F.lit(0))
     spans = lines.select("id", start.alias("start"), (start + F.char_length("line")).alias("end")).where("end > start")
-    return matching.in_spans(_hits(spark, d), spans).groupBy("key_id").agg(F.count("*").alias("hits"), F.count_if("inside").alias("inside"))
+    return matching.in_spans(_hits(spark, d), spans)
+
+
+@query
+def hits_in_spans(spark, d):
+    return _inside(spark, d).groupBy("key_id").agg(F.count("*").alias("hits"), F.count_if("inside").alias("inside"))
 
 
 @query
@@ -258,8 +263,7 @@ def version_matrix(spark, d):
 
 @query
 def round_robin_groups(spark, d):
-    best = labels(spark, d).select("doc_id").distinct().orderBy("doc_id").limit(100)  # a work list has a fixed length
-    return catalog.round_robin(best, 7, F.desc("doc_id"))
+    return catalog.round_robin(labels(spark, d).select("doc_id").distinct(), 7, -F.col("doc_id"), "doc_id")
 
 
 @query
@@ -412,7 +416,7 @@ ORACLES: dict[str, str] = {
     "version_reverse": f"""WITH f(version, platform, sha) AS ({_rows(X.FOUND)}), c(version, platform, expected) AS ({_rows(X.CONFIG)}), r AS (SELECT *, row_number() OVER (PARTITION BY expected ORDER BY CAST(split_part(version, '.', 1) AS INT), CAST(split_part(version, '.', 2) AS INT), CAST(split_part(version, '.', 3) AS INT), platform) AS i FROM c)
         SELECT s.sha, r.version, r.platform FROM (SELECT DISTINCT sha FROM f) s LEFT JOIN r ON r.expected = s.sha AND i = 1""",
     "version_matrix": f"WITH v(version) AS ({_rows([(x,) for x in X.VERSIONS])}), p(platform) AS (VALUES ('linux'), ('darwin')) SELECT * FROM (SELECT DISTINCT version FROM v), p",
-    "round_robin_groups": "WITH b AS (SELECT DISTINCT doc_id FROM labels ORDER BY doc_id LIMIT 100) SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id DESC) - 1) % 7 AS BIGINT) AS part FROM b",
+    "round_robin_groups": "WITH b AS (SELECT DISTINCT doc_id FROM labels) SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id DESC) - 1) % 7 AS BIGINT) AS part FROM b",
     "merge_versions": "SELECT md5(text) AS src, CAST(min(length(text)) AS INT) AS score, string_agg(source, ',' ORDER BY doc_id) AS versions FROM documents GROUP BY 1",
     "whitelist_merge": "WITH t AS (SELECT DISTINCT regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM conversations) SELECT md5(t) AS digest, CAST(length(t) AS BIGINT) AS n FROM t WHERE t <> ''",
     "glossary_violations": X.GLOSSARY_SQL,

@@ -51,3 +51,34 @@ def modules(files: DataFrame, trailer: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], list(names))
 
     return files.select("path", "content").mapInArrow(run, "path string, i int, name string, off long, len long, loader int, module_format int, side int")
+
+
+def sections(data: bytes) -> list[tuple[int, int]]:
+    """(first byte, end) in the file of each loaded segment of an ELF64 or 64-bit Mach-O file, or each section of a PE file."""
+    if data[:4] == b"\x7fELF":
+        (table,), (size, count) = struct.unpack_from("<Q", data, 32), struct.unpack_from("<2H", data, 54)
+        heads = [struct.unpack_from("<2I4Q", data, table + i * size) for i in range(count)]
+        return [(h[2], h[2] + h[5]) for h in heads if h[0] == 1]
+    if data[:4] == b"\xcf\xfa\xed\xfe":
+        out, at = [], 32
+        for _ in range(struct.unpack_from("<I", data, 16)[0]):
+            kind, size = struct.unpack_from("<2I", data, at)
+            if kind == 0x19:
+                start, n = struct.unpack_from("<2Q", data, at + 40)
+                out.append((start, start + n))
+            at += size
+        return out
+    if data[:2] == b"MZ":
+        at = struct.unpack_from("<I", data, 0x3C)[0]
+        (count,), (optional,) = struct.unpack_from("<H", data, at + 6), struct.unpack_from("<H", data, at + 20)
+        raw = [struct.unpack_from("<2I", data, at + 24 + optional + 40 * i + 16) for i in range(count)]
+        return [(start, start + n) for n, start in raw]
+    raise ValueError("unknown format")
+
+
+def containing(data: bytes, off: int) -> tuple[int, int]:
+    """The section that holds byte off; an error if none does."""
+    for low, high in sections(data):
+        if low <= off < high:
+            return low, high
+    raise ValueError(f"no section holds byte {off}")
