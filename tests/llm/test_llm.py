@@ -117,6 +117,56 @@ def test_suffixes_across_partitions(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == set(range(300)) and {r["doc_id"] for r in got if r["redundant"]} == set(range(1, 300))
 
 
+def _redundant(rows):
+    """Words of each document in windows of 50 words that a smaller document has."""
+    low, out = {}, defaultdict(set)
+    split = {i: WORD.findall(t) for i, t in rows}
+    for i in sorted(split):
+        for j in range(len(split[i]) - 49):
+            if low.setdefault(tuple(split[i][j : j + 50]), i) != i:
+                out[i].update(range(j, j + 50))
+    return out
+
+
+def _found(spark, rows):
+    out = defaultdict(set)
+    for r in suffixes.passages(spark.createDataFrame(rows, "doc_id long, text string")).where("redundant").collect():
+        out[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return out
+
+
+def _one_least(n, low, high):
+    """n words all of whose windows have the same least run of 25 words, and where it begins, from low to high."""
+    while True:
+        t = text(n)
+        g = tok.grams(tok.split(*tok.buffer_of(pa.array([t]))).hash, 25)
+        if len({i + int(g[i : i + 26].argmin()) for i in range(len(g) - 25)}) == 1 and low <= int(g.argmin()) <= high:
+            return t.split(), int(g.argmin())
+
+
+def test_suffixes_keep_one_place_of_a_quoted_passage(spark):
+    """A smaller document that quotes a part of a passage leaves one whole copy only."""
+    words, i = _one_least(60, 10, 25)
+    rows = [(0, f"{text(30)} {' '.join(words[i - 5 : i + 30])} {text(30)}")] + [(j, f"{text(30)} {' '.join(words)} {text(30)}") for j in range(1, 400)]
+    found = _found(spark, rows)
+    assert found == _redundant(rows) and set(found) == set(range(2, 400))
+
+
+def test_suffixes_in_small_batches(monkeypatch):
+    r = np.random.default_rng(3)
+    n = 3000
+    t = pa.table({"doc_id": r.integers(0, 40, n), "m": np.sort(r.integers(0, 30, n)), "h": r.integers(0, 3, n), "pos": pa.array(r.integers(0, 5000, n), pa.int32())})
+    t = t.append_column("k", t["doc_id"]).select(["doc_id", "k", "m", "h", "pos"]).sort_by([(c, "ascending") for c in ("m", "h", "doc_id", "k", "pos")])
+    least = {(x["m"], x["h"]): x["doc_id"] for x in reversed(t.to_pylist())}
+    count = {key: {x["k"] for x in t.to_pylist() if (x["m"], x["h"]) == key} for key in least}
+    want = {(x["k"], x["pos"] + j, x["doc_id"] != least[x["m"], x["h"]]) for x in t.to_pylist() if len(count[x["m"], x["h"]]) > 1 for j in range(50)}
+    for size in (200_000, 70):
+        monkeypatch.setattr(suffixes, "BATCH", size)
+        got = pa.Table.from_batches(suffixes._compare(iter(t.to_batches(64)))).to_pylist()
+        assert {(x["k"], w, x["redundant"]) for x in got if x["side"] != 1 for w in range(x["start"], x["end"])} == want
+        assert sum(x["side"] == 1 for x in got) == 2
+
+
 def test_licenses(spark, docs, empty):
     got = by_id(licenses.scan(docs))
     for i, t in enumerate(TEXTS):

@@ -1,16 +1,15 @@
-"""Sparse suffix arrays: passages of MIN_WORDS words or more that texts share.
-
-Suffixes are retained only at positions that the content selects: the minimiser of the hashes of K words in each run of
-WINDOW such hashes. As K + WINDOW - 1 = MIN_WORDS, every shared passage holds a retained suffix in each of its places,
-within CONTEXT words of its beginning. Retained suffixes whose first K words occur once only are left out (a fixed-size
-table of bits tells; a wrong bit costs a row, never a passage). The others, with CONTEXT words to either side, are sorted
-over the whole cluster by range, so that a passage in a third of all rows fills many partitions. Neighbours, also across
-partitions, and each suffix and the first document of its run, are compared and their match is extended to the left and
-to the right. A second order, by what stands to the left, finds partners that the first separates. Matches of successive
-suffixes overlap, so their union is the whole passage however long.
-
-Of two places of a span that in the larger (doc_id, text) is redundant. As that order is total, some place of every span
-is kept whole: where the smaller place is redundant too, a smaller one still holds it.
+"""Passages of MIN_WORDS words or more that texts share, by the windows of MIN_WORDS words that they are made of.
+
+A passage of MIN_WORDS words or more is shared if and only if each of its windows of MIN_WORDS words is. A window's least
+hash of K words (of its WINDOW such hashes) is the same wherever the window stands, so windows whose least hash one text
+only has are left out (a fixed-size table of bits tells; a wrong bit costs rows, never a passage). All other windows are
+sorted over the whole cluster by range: by that least hash, their own hash, and their document. Equal windows then follow
+each other, the smallest document's first, and a window in a third of all rows fills many partitions. Runs of equal
+windows at the edges of a partition are decided by what the other partitions say of the same window (two rows of each).
+Windows with one least hash are neighbours in their text and leave a partition as one span.
+
+Of the places of a window all are redundant but those in the smallest (doc_id, text). As that order is total, each window
+is redundant everywhere but in one document, which is the same for all of its places.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -31,7 +30,8 @@ from .common import checked_broadcast, cut, narrow_batches
 MIN_WORDS = 50
 K = 25
 WINDOW = MIN_WORDS - K + 1
-CONTEXT = WINDOW - 1
+#: Rows that are worked on at once.
+BATCH = 200_000
 #: Bits in the table of hashes that occur twice, and in each of the parts it is made of.
 BITS, PART_BITS = 27, 20
 U64 = np.uint64
@@ -47,20 +47,22 @@ def _slide(x: np.ndarray, n: int, best) -> np.ndarray:
     return x
 
 
-def retained(w: tok.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of K words, word) for each position that is the least in some run of WINDOW positions of one text."""
-    g = tok.grams(w.hash, K)
+def least(w: tok.Words) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of MIN_WORDS words the least hash of K words in it, and whether the run lies in one text."""
     if len(w.hash) < MIN_WORDS:
-        return g[:0], np.zeros(0, np.int64)
-    runs = tok.same_text(w.doc, MIN_WORDS)
-    least = _slide(g, WINDOW, np.minimum)
-    least[~runs] = 0
-    edge = np.zeros(WINDOW - 1, U64)
-    most = _slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum)
-    ok = (most == g) & (g > 0)
-    ok[1:] &= g[1:] != g[:-1]
-    at = np.flatnonzero(ok)
-    return g[at], at
+        return np.zeros(0, U64), np.zeros(0, bool)
+    return _slide(tok.grams(w.hash, K), WINDOW, np.minimum), tok.same_text(w.doc, MIN_WORDS)
+
+
+def least_of_texts(w: tok.Words) -> np.ndarray:
+    """The least hashes of each text, each once a text."""
+    g, ok = least(w)
+    doc = w.doc[: len(g)]
+    new = np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1])[: len(g)] & ok
+    g, doc = g[new], doc[new]
+    order = np.lexsort([g, doc])
+    g, doc = g[order], doc[order]
+    return g[np.append(True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1]))[: len(g)]]
 
 
 def _key() -> Column:
@@ -68,12 +70,12 @@ def _key() -> Column:
 
 
 def _twice(texts: DataFrame) -> np.ndarray:
-    """The table of bits: set for hashes that occur twice or more. Its size is fixed, whatever the input's."""
+    """The table of bits: set for least hashes that two texts or more have. Its size is fixed, whatever the input's."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, _, data, at in tok.chunks(b.column(2)):
-                g, n = np.unique(retained(tok.split(data, at))[0], return_counts=True)
+                g, n = np.unique(least_of_texts(tok.split(data, at)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], ["g", "n"])
 
     def part(t: pa.Table) -> pa.Table:
@@ -90,160 +92,136 @@ def _twice(texts: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
-def _suffixes(texts: DataFrame, shared) -> DataFrame:
-    """Retained suffixes whose first K words are in the (broadcast) table, with what stands to either side."""
+def _windows(texts: DataFrame, shared) -> DataFrame:
+    """Windows of MIN_WORDS words whose least hash (m) is in the (broadcast) table: their own hash h and first word pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for b in batches:
             for low, _, data, at in tok.chunks(b.column(2)):
                 w = tok.split(data, at)
-                g, i = retained(w)
-                bit = (g & U64((1 << BITS) - 1)).astype(np.int64)
-                often = (bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1) > 0
-                g, i = g[often], i[often]
-                firsts, doc = w.firsts(), w.doc[i]
-                short = np.maximum(w.hash & U64(0xFFFFFFFF), U64(1)).astype(np.uint32)
-                side = []
-                for place in (i[:, None] - 1 - np.arange(CONTEXT), i[:, None] + K + np.arange(CONTEXT)):
-                    ok = (place >= firsts[doc][:, None]) & (place < firsts[doc + 1][:, None])
-                    side.append(np.where(ok, short[np.clip(place, 0, max(0, len(short) - 1))], 0).astype("<u4"))
-                fixed = pa.binary(4 * CONTEXT)
-                rows = pa.array(low + doc)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).take(rows), b.column(1).take(rows), pa.array(g.view(np.int64)), pa.array((i - firsts[doc]).astype(np.int32)),
-                        *(pa.FixedSizeBinaryArray.from_buffers(fixed, len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary()) for x in side),
-                    ],
-                    ["doc_id", "k", "g", "pos", "left", "right"],
-                )
-
-    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, k long, g long, pos int, left binary, right binary")
+                m, ok = least(w)
+                bit = (m & U64((1 << BITS) - 1)).astype(np.int64)
+                i = np.flatnonzero(ok & ((bits[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1) > 0))
+                if not len(i):
+                    continue
+                h, firsts = tok.grams(w.hash, MIN_WORDS), w.firsts()
+                for some in np.array_split(i, -(-len(i) // BATCH)):
+                    doc = w.doc[some]
+                    rows = pa.array(low + doc)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(rows), b.column(1).take(rows), pa.array(m[some].view(np.int64)), pa.array(h[some].view(np.int64)), pa.array((some - firsts[doc]).astype(np.int32))],
+                        ["doc_id", "k", "m", "h", "pos"],
+                    )
+
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, k long, m long, h long, pos int")
 
 
 _SPAN = ("doc_id", "k", "start", "end", "keeper", "redundant")
-_EDGE = ("g", "pos", "left", "right", "task", "side")
-
-
-class _Rows:
-    """Sorted retained suffixes as arrays."""
-
-    def __init__(self, t: pa.Table):
-        self.t = t
-        self.k, self.g, self.pos = (t[c].to_numpy() for c in ("k", "g", "pos"))
-        self.left, self.right = (np.frombuffer(b"".join(t[c].to_pylist()), "<u4").reshape(len(self.k), CONTEXT) for c in ("left", "right"))
-
-        # order of documents: (doc_id, k), then place
-        self.rank = np.argsort(np.lexsort([self.pos, self.k, _ids(t)]))
-
-    def matches(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(row, partner, words to the left, to the right) of both ends of each pair x, y that shares MIN_WORDS words or more."""
-        ok = (self.g[x] == self.g[y]) & (self.k[x] != self.k[y])
-        x, y = x[ok], y[ok]
-        a, b = (np.logical_and.accumulate((side[x] == side[y]) & (side[x] > 0), axis=1).sum(axis=1) for side in (self.left, self.right))
-        ok = a + b + K >= MIN_WORDS
-        x, y, a, b = x[ok], y[ok], a[ok], b[ok]
-        return np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([a, a]), np.concatenate([b, b])
-
-    def spans(self, row, partner, a, b) -> pa.RecordBatch:
-        """Of each row one span for smaller partners (redundant: these hold it too) and one for larger ones (kept): what it shares with any."""
-        redundant = self.rank[partner] < self.rank[row]
-        key, back = np.unique(row * 2 + redundant, return_inverse=True)
-        left, right, low = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.full(len(key), len(self.k))
-        np.maximum.at(left, back, a)
-        np.maximum.at(right, back, b)
-        np.minimum.at(low, back, self.rank[np.where(redundant, partner, row)])
-        # a kept span within a redundant one of the same row says nothing more
-        after = np.append(key[1:] == key[:-1] + 1, False) & (key % 2 == 0) if len(key) else np.zeros(0, bool)
-        covered = after & (np.append(left[1:], 0) >= left) & (np.append(right[1:], 0) >= right) if len(key) else after
-        key, left, right, low = (x[~covered] for x in (key, left, right, low))
-        row, flag, keeper = key // 2, key % 2 == 1, np.argsort(self.rank)[np.minimum(low, max(0, len(self.k) - 1))]
-        ids, k = _one(self.t["doc_id"]), _one(self.t["k"])
-        columns = [ids.take(pa.array(row)), k.take(pa.array(row)), pa.array((self.pos[row] - left).astype(np.int32)), pa.array((self.pos[row] + K + right).astype(np.int32)), ids.take(pa.array(keeper)), pa.array(flag)]
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays(columns + [pa.nulls(len(row), kind) for kind in kinds], [*_SPAN, *_EDGE])
 
 
 def _one(x) -> pa.Array:
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of neighbours in one sorted partition, and its first and last row, for the comparison across partitions."""
-    task, held, kept, first = TaskContext.get().partitionId(), [], None, None
-
-    def edge(t: pa.Table, side: int) -> pa.RecordBatch:
-        n, ids = t.num_rows, _one(t["doc_id"])
-        nothing = (pa.int32(), pa.int32(), ids.type, pa.bool_())
-        return pa.RecordBatch.from_arrays([ids, _one(t["k"]), *(pa.nulls(n, x) for x in nothing), *(_one(t[c]) for c in _EDGE[:4]), pa.array([task] * n, pa.int32()), pa.array([side] * n, pa.int32())], [*_SPAN, *_EDGE])
-
-    def solve(t: pa.Table) -> tuple[pa.RecordBatch, pa.Table, pa.Table]:
-        r = _Rows(t)
-        n = np.arange(len(r.k))
-        # the first document of each run of equal hashes
-        heads = np.flatnonzero(np.append(True, r.g[1:] != r.g[:-1]))
-        lead = np.argsort(r.rank)[np.minimum.reduceat(r.rank, heads)]
-        begin = t.take(pa.array(sorted({0, int(lead[0])})))
-        lead = np.repeat(lead, np.diff(np.append(heads, len(n))))
-        pairs = (np.concatenate(x) for x in zip(r.matches(n[:-1], n[1:]), r.matches(lead, n), strict=True))
-        return r.spans(*pairs), begin, t.take(pa.array(sorted({int(lead[-1]), len(n) - 1})))
-
-    for b in batches:
-        if b.num_rows:
-            held.append(pa.Table.from_batches([b]))
-        if sum(x.num_rows for x in held) >= 20_000:
-            out, begin, kept = solve(pa.concat_tables(([kept] if kept is not None else []) + held).combine_chunks())
-            first, held = first or begin, []
-            yield out
-    if held:
-        out, begin, kept = solve(pa.concat_tables(([kept] if kept is not None else []) + held).combine_chunks())
-        first = first or begin
-        yield out
-    if kept is not None:  # the first and last row, and the leads of their runs
-        yield edge(first, 0)
-        yield edge(kept, 1)
+def _ids(ids: pa.Array) -> np.ndarray:
+    """doc_id as numbers in its order, null the smallest."""
+    if pa.types.is_integer(ids.type):
+        return ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    order = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense")
+    return order.to_numpy().astype(np.int64)
 
 
-def _ids(t: pa.Table) -> np.ndarray:
-    """doc_id as numbers in its order."""
+def _solve(t: pa.Table, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
+    """Spans of whole runs of equal windows. first, last: the first or last run may go on in another partition; its windows are told as they are, and what is known of it."""
     ids = _one(t["doc_id"])
-    if pa.types.is_integer(ids.type):
-        return ids.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-    return np.unique(np.array([str(x) for x in ids.to_pylist()]), return_inverse=True)[1]
+    k, m, h, pos = (t[c].to_numpy() for c in ("k", "m", "h", "pos"))
+    new = np.append(True, (m[1:] != m[:-1]) | (h[1:] != h[:-1]))
+    heads, run = np.flatnonzero(new), np.cumsum(new) - 1
+    lead = heads[run]
+    redundant = k != k[lead]
+    many = np.logical_or.reduceat(redundant, heads)
+    open_ = np.zeros(len(heads), bool)
+    if first:
+        open_[0] = True
+    if last:
+        open_[-1] = True
+
+    def batch(row: np.ndarray, start, end, keeper, flag, side: int | None = None) -> pa.RecordBatch:
+        n = len(row)
+        own = [pa.nulls(n, pa.int64())] * 2 if side is None else [pa.array(x[row]) for x in (m, h)]
+        columns = [ids.take(pa.array(row)), pa.array(k[row]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), ids.take(pa.array(keeper)), pa.array(flag), *own, pa.array([side] * n, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, [*_SPAN, "m", "h", "side"])
+
+    row = np.flatnonzero((many & ~open_)[run])
+    if len(row):
+        row = row[np.lexsort([pos[row], redundant[row], k[row]])]
+        # windows of one text that meet, with one verdict, are one span
+        begin = np.flatnonzero(np.append(True, (k[row][1:] != k[row][:-1]) | (redundant[row][1:] != redundant[row][:-1]) | (pos[row][1:] > pos[row][:-1] + MIN_WORDS)))
+        end = np.append(begin[1:], len(row)) - 1
+        order = np.argsort(_ids(ids), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        keeper = order[np.minimum.reduceat(rank[lead[row]], begin)]
+        yield batch(row[begin], pos[row[begin]], pos[row[end]] + MIN_WORDS, keeper, redundant[row[begin]])
+    row = np.flatnonzero(open_[run])
+    if len(row):
+        yield batch(row, pos[row], pos[row] + MIN_WORDS, row, redundant[row], 0)
+        row = heads[open_]
+        yield batch(row, pos[row], pos[row], row, many[open_], 1)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of rows at the edges of neighbouring partitions (four rows of each at most), and of these and their run's lead."""
-    held = [b for b in batches if b.num_rows]
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of one sorted partition."""
+    held, first = [], True
+    for b in batches:
+        if b.num_rows:
+            held.append(pa.Table.from_batches([b]))
+        if sum(x.num_rows for x in held) >= BATCH:
+            t = pa.concat_tables(held).combine_chunks()
+            m, h = t["m"].to_numpy(), t["h"].to_numpy()
+            new = np.flatnonzero((m[1:] != m[:-1]) | (h[1:] != h[:-1]))
+            held = [t]
+            if len(new):
+                yield from _solve(t.slice(0, int(new[-1]) + 1), first, False)
+                held, first = [t.slice(int(new[-1]) + 1).combine_chunks()], False
     if held:
-        t = pa.Table.from_batches(held).combine_chunks()
-        r, n = _Rows(t), np.arange(t.num_rows)
-        heads = np.flatnonzero(np.append(True, r.g[1:] != r.g[:-1]))
-        lead = np.repeat(np.argsort(r.rank)[np.minimum.reduceat(r.rank, heads)], np.diff(np.append(heads, len(n))))
-        pairs = [r.matches(n[:-step], n[step:]) for step in (1, 2, 3) if len(n) > step] + [r.matches(lead, n)]
-        yield r.spans(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+        yield from _solve(pa.concat_tables(held).combine_chunks(), first, True)
 
 
 def shared_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: a smaller document that has it, or the document itself."""
+    """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: the smallest document that has a window of it."""
     narrow_batches(docs.sparkSession)
     # ranges of even size also where one passage fills many of them
     docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "200")
     texts = docs.select("doc_id", _key().alias("k"), F.col("text").cast("string").alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(_twice(texts))  # 2 ** BITS bits
-    rows = cut(_suffixes(texts, table))
-    table.destroy()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, k long, start int, end int, keeper {kind}, redundant boolean, g long, pos int, left binary, right binary, task int, side int"
-    parts = []
-    for order in (("g", "right", "left", "k", "pos"), ("g", "left", "right", "k", "pos")):
-        found = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_compare, schema))
-        edges = found.where(F.col("side").isNotNull()).select("doc_id", "k", "g", "pos", "left", "right", "task", "side")  # four rows a partition at most
-        parts += [found.where(F.col("side").isNull()).select(*_SPAN), edges.coalesce(1).sortWithinPartitions("task", "side").mapInArrow(_across, schema).select(*_SPAN)]
-    spans = parts[0]
-    for x in parts[1:]:
-        spans = spans.unionByName(x)
-    return spans
+    order = ("m", "h", "doc_id", "k", "pos")
+    found = _windows(texts, table).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = cut(found.mapInArrow(_compare, f"doc_id {kind}, k long, start int, end int, keeper {kind}, redundant boolean, m long, h long, side int"))
+    table.destroy()
+    edges = found.where("side = 1").groupBy("m", "h").agg(F.min(F.struct("doc_id", "k")).alias("low"), (F.max("redundant") | (F.min("k") != F.max("k"))).alias("many")).where("many")  # of two rows a partition at most
+    low = docs.sparkSession.sparkContext.broadcast({(r["m"], r["h"]): (r["low"]["doc_id"], r["low"]["k"]) for r in edges.collect()})
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans as they are; windows that were left open by what all partitions say of them: none or one row for each."""
+        for b in batches:
+            if (done := b.filter(b.column(8).is_null())).num_rows:
+                yield pa.RecordBatch.from_arrays(done.columns[:6], list(_SPAN))
+            b = b.filter(b.column(8).is_valid())
+            if not b.num_rows:
+                continue
+            m, h = (b.column(i).to_numpy() for i in (6, 7))
+            heads = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (h[1:] != h[:-1]))).tolist()
+            for i, j in zip(heads, [*heads[1:], len(m)], strict=True):
+                if (key := (int(m[i]), int(h[i]))) in low.value:
+                    doc_id, k = low.value[key]
+                    own = b.slice(i, j - i)
+                    keeper = pa.array([doc_id], own.column(0).type).take(pa.array(np.zeros(j - i, np.int64)))
+                    yield pa.RecordBatch.from_arrays([*own.columns[:4], keeper, pa.array(own.column(1).to_numpy() != k)], list(_SPAN))
+
+    return found.where("side IS NULL OR side = 0").mapInArrow(decide, found.select(*_SPAN).schema)
 
 
 def passages(docs: DataFrame) -> DataFrame:
