@@ -167,6 +167,14 @@ def test_suffixes_in_small_batches(monkeypatch):
         assert sum(x["side"] == 1 for x in got) == 2
 
 
+def test_suffixes_of_one_repeated_word(spark):
+    """A run of one word is found to its end, also where the text before it ends with the same word."""
+    same = " ".join(["0"] * 1000)
+    for rows in ([(1, same), (2, same)], [(1, text(60) + " 0"), (2, same), (3, text(60) + " 0"), (4, same)], [(1, f"{text(20)} {same} {text(9)}"), (2, f"{text(70)} {same} {text(3)}")]):
+        found = _found(spark, rows)
+        assert found == _redundant(rows) and max(map(len, found.values())) == 1000
+
+
 def test_licenses(spark, docs, empty):
     got = by_id(licenses.scan(docs))
     for i, t in enumerate(TEXTS):
