@@ -175,6 +175,20 @@ def test_suffixes_of_one_repeated_word(spark):
         assert found == _redundant(rows) and max(map(len, found.values())) == 1000
 
 
+def test_suffixes_find_a_passage_behind_longer_one_sided_matches(spark):
+    """Passages of 50 words exactly, of whose middle others share more on one side and less than 50 in all."""
+    parts, whole = [], []
+    for _ in range(20):
+        words, i = _one_least(50, 10, 15)
+        for before, after in ((text(30), text(30)), (text(30), text(30))):
+            whole.append(f"{before} {' '.join(words)} {after}")
+            parts.append(f"{text(20)} {' '.join([*before.split()[-8:], *words[: i + 25]])} {text(20)}")
+            parts.append(f"{text(20)} {' '.join([*words[i:], *after.split()[:8]])} {text(20)}")
+    rows = list(enumerate(parts + whole))
+    found = _found(spark, rows)
+    assert found == _redundant(rows) and len(found) == 20
+
+
 def test_licenses(spark, docs, empty):
     got = by_id(licenses.scan(docs))
     for i, t in enumerate(TEXTS):
