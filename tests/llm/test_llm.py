@@ -373,6 +373,16 @@ def test_near_copies(spark, docs, empty):
     assert sorted(r["doc_id"] for r in left.collect()) == [i for i in range(len(TEXTS)) if i not in (1, 2, 12, 16, 17, 18)]
 
 
+def test_near_copies_with_repeated_lines(spark):
+    """Texts with one set of shingles, of which one repeats a line, are near copies."""
+    rows = []
+    for i in range(30):
+        body, line = text(100), text(10)
+        rows += [(i, f"{body} {line} {line}"), (100 + i, f"{body} " + " ".join([line] * 40))]
+    kept = sorted(r["doc_id"] for r in simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == list(range(30))
+
+
 def test_connected(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (102, 101)]
     got = {r["id"]: r["root"] for r in simhash.connected(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -36,6 +36,9 @@ BANDS, ROWS = 10, 3
 CELLS = 256
 #: Sketches err by 0.01 (short texts) to 0.025; a link is accepted from similarity less SLACK, so that hardly one at the threshold is lost.
 SLACK = 0.04
+#: Fingerprints of sets at a similarity of 0.8 differ in each bit with a chance of up to 0.1875 (four and five shingles;
+#: 0.151 for long texts), so in more than RADIUS of 64 bits with one below 0.00001, far below that of missing all bands.
+RADIUS = 28
 _FACTORS = tok.mix(np.arange(1, BANDS * ROWS + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 
 
@@ -76,6 +79,15 @@ def fingerprints(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(hashes: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's hashes once, and where each text's begin."""
+    doc = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    order = np.lexsort([hashes, doc])
+    h, d = hashes[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1]))[: len(h)]
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(d[new], minlength=len(edge) - 1))])
+
+
 def min_hashes(hashes: np.ndarray, edge: np.ndarray) -> np.ndarray:
     """BANDS * ROWS min-hashes for each text; all equal for texts without words."""
     some = np.diff(edge) > 0
@@ -114,6 +126,7 @@ def with_fingerprints(docs: DataFrame, shingle: int, signed: bool = False) -> Da
                 cols = [b.column(0).slice(low, high - low), pa.array(fingerprints(hashes, edge).view(np.int64))]
                 if signed:
                     sig = min_hashes(hashes, edge)
+                    cols[1] = pa.array(fingerprints(*distinct(hashes, edge)).view(np.int64))
                     keys = sum((tok.mix(sig[:, r::ROWS] + U64(r)) for r in range(ROWS)), np.zeros((1, 1), U64)) + np.arange(BANDS, dtype=U64)
                     flat = pa.array(tok.mix(keys).view(np.int64).ravel())
                     cols += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32)), flat), pa.array([x.tobytes() for x in sketches(hashes, edge)], pa.binary()), b.column(2).slice(low, high - low)]
@@ -216,11 +229,11 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit("")))
 
 
-def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 18) -> DataFrame:
+def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """doc_id, k, kept_id, kept for each row of docs: one document of each group of similar texts is kept, that with the smallest doc_id.
 
     Texts link if the similarity of their sketches of shingles reaches the given one and their fingerprints lie
-    within radius (generous: at a similarity of 0.8, 64-bit fingerprints differ in 10 bits on average). k: a digest of id and text.
+    within radius. These fingerprints count each shingle once, as the similarity does. k: a digest of id and text.
     """
     rows = cut(with_fingerprints(docs, shingle, signed=True)).withColumn("id", F.xxhash64("fp", "sig"))
     texts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("keys"), F.first("sig").alias("sig"))
