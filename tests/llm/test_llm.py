@@ -312,6 +312,24 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_toxicity_of_long_runs_of_letters():
+    """Texts without spaces count to their end, and so does what stands behind 40 bytes of other letters."""
+    r = random.Random(9)
+    chars = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    run = lambda n: "".join(r.choice(chars) for _ in range(n))
+    made = [(run(60) + (chr(0x6000) + chr(0x6001) + chr(0x6002) if i % 2 else "") + run(20), i % 2) for i in range(400)]
+    model = toxicity.train([x for x, _ in made[:300]], [y for _, y in made[:300]])
+    got = model.scores(pa.array([x for x, _ in made[300:]])) >= 0.5
+    assert (got == np.array([y for _, y in made[300:]])).mean() > 0.9
+    w = toxicity.split(*tok.buffer_of(pa.array(["a" * 40, "b" * 41, "c" * 500 + " d", "e" * 36, "e" * 44])))
+    assert (w.end - w.start).max() == 40 and w.counts().tolist() == [1, 2, 15, 1, 2]
+    # every n-gram of five letters is in some piece
+    word = "".join(r.choice("abcdefgh") for _ in range(333))
+    w = toxicity.split(*tok.buffer_of(pa.array([word])))
+    pieces = [bytes(w.data[s:e]).decode() for s, e in zip(w.start, w.end)]
+    assert {word[i : i + 5] for i in range(329)} == {p[i : i + 5] for p in pieces for i in range(len(p) - 4)}
+
+
 def test_bktree():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 40, dtype=np.uint64)

@@ -36,24 +36,46 @@ LEAST_DOCS = 3
 SHRINK = 5
 #: What a false alarm weighs, the classes' shares left out, when the bias is set.
 FALSE_ALARM = 5
-#: A word counts by the n-grams of its first bytes, and by itself.
-LONGEST = 40
+#: A longer run of letters counts as several words of so many bytes, which overlap so that no n-gram is lost.
+LONGEST, OVERLAP = 40, 4
 U64 = np.uint64
 _FACTOR = tok.mix(np.arange(1, 9, dtype=U64) * U64(0x8CB92BA72F3D8DD7)) | U64(1)
 
 
 def split(data: np.ndarray, at: np.ndarray) -> tok.Words:
-    """Runs of letters and digits, A-Z lower-cased."""
-    return tok.split(data, at, tok.ALNUM, tok.LOWER)
+    """Runs of letters and digits, A-Z lower-cased; those of over LONGEST bytes (texts without spaces, say) in pieces."""
+    w = tok.split(data, at, tok.ALNUM, tok.LOWER)
+    size = w.end - w.start
+    if not len(size) or size.max() <= LONGEST:
+        return w
+    n = np.maximum(1, -(-(size - OVERLAP) // (LONGEST - OVERLAP)))
+    of = np.repeat(np.arange(len(n)), n)
+    i = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = w.start[of] + i * (LONGEST - OVERLAP)
+    end = np.minimum(start + LONGEST, w.end[of])
+    hashes, piece = w.hash[of], n[of] > 1
+    length = (end - start)[piece]
+    edge = np.concatenate([[0], np.cumsum(length)])
+    inner = np.repeat(start[piece] - edge[:-1], length) + np.arange(edge[-1])
+    # a piece is not the word that has the same letters: its marks differ
+    hashes[piece] = tok.mix(tok.split(w.data[inner], edge, tok.ALNUM).hash + 2 * (i > 0)[piece].astype(U64) + (i < n[of] - 1)[piece].astype(U64))
+    return tok.Words(w.data, w.at, hashes, start, end, w.doc[of])
+
+
+def _cut(w: tok.Words, at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a run of letters goes on over these places; before: the byte on the other side of each."""
+    inside = (before >= 0) & (before < len(w.data)) & (w.at[np.minimum(np.searchsorted(w.at, at), len(w.at) - 1)] != at)
+    return inside & tok.ALNUM[w.data[np.clip(before, 0, len(w.data) - 1)]]
 
 
 def bags(w: tok.Words, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in of, bucket) of the n-grams (3 to 5 UTF-8 bytes, with marks at both ends) of the words of, and of each word itself."""
-    size = np.minimum(w.end[of] - w.start[of], LONGEST)
+    """(place in of, bucket) of the n-grams (3 to 5 UTF-8 bytes, with marks at both ends, others where a run was cut) of the words of, and of each word itself."""
+    size = w.end[of] - w.start[of]
     edge = np.concatenate([[0], np.cumsum(size + 2)])
     begin = edge[:-1]
-    text = np.full(edge[-1], ord("<"), np.uint8)
-    text[begin + size + 1] = ord(">")
+    text = np.empty(edge[-1], np.uint8)
+    text[begin] = np.where(_cut(w, w.start[of], w.start[of] - 1), 0, ord("<"))
+    text[begin + size + 1] = np.where(_cut(w, w.end[of], w.end[of]), 0, ord(">"))
     inner = np.repeat(begin + 1 - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     text[inner] = w.data[np.repeat(w.start[of] - begin - 1, size) + inner]
     owner = np.repeat(np.arange(len(of), dtype=np.int32), size + 2)
