@@ -220,6 +220,23 @@ def test_jpeg(docs, empty):
         jpeg.parse(b"no picture")
 
 
+def test_thumbnail_hashes_see_every_sample():
+    """Means of areas, by fractions; samples that no grid of points meets count."""
+    r = np.random.default_rng(4)
+    for shape in ((800, 3), (16, 18), (5, 7), (1, 1)):
+        image = r.integers(0, 256, shape).astype(np.uint8)
+        want = []
+        for columns in (8, 9):
+            big = np.kron(image.astype(np.int64), np.ones((8, columns), np.int64))
+            want.append(big.reshape(8, shape[0], columns, shape[1]).sum(axis=(1, 3)))
+        a, d = want
+        assert jpeg.thumbnail_hashes(image) == (np.packbits(a * 64 > a.sum()).tobytes().hex(), np.packbits(d[:, 1:] > d[:, :-1]).tobytes().hex())
+    image = np.full((800, 3), 100, np.uint8)
+    other = image.copy()
+    other[1:100] = 0
+    assert jpeg.thumbnail_hashes(image) != jpeg.thumbnail_hashes(other)
+
+
 def _slow_jpeg(data):
     """A symbol at a time, for grey images: coefficients of each block."""
     h = jpeg.parse(data)

@@ -280,12 +280,13 @@ def luminance(h: Header, coefficients: np.ndarray) -> np.ndarray:
 
 
 def thumbnail_hashes(image: np.ndarray) -> tuple[str, str]:
-    """(average hash, difference hash) as hexadecimal, from an 8 x 8 and an 8 x 9 sampling of a thumbnail."""
-    def sample(rows: int, columns: int) -> np.ndarray:
-        y, x = (np.arange(n) * s // n for n, s in ((rows, image.shape[0]), (columns, image.shape[1])))
-        return image[np.ix_(y, x)].astype(np.int64)
+    """(average hash, difference hash) as hexadecimal, from the means of 8 x 8 and of 8 x 9 equal areas of a thumbnail."""
+    def shares(cells: int, size: int) -> np.ndarray:
+        """How much of each sample lies in each cell, in parts of 1 / cells."""
+        i, y = np.arange(cells)[:, None], np.arange(size)
+        return np.maximum(0, np.minimum((y + 1) * cells, (i + 1) * size) - np.maximum(y * cells, i * size))
 
-    a, d = sample(8, 8), sample(8, 9)
+    a, d = (shares(rows, image.shape[0]) @ image.astype(np.int64) @ shares(columns, image.shape[1]).T for rows, columns in ((8, 8), (8, 9)))
     return np.packbits(a * 64 > a.sum()).tobytes().hex(), np.packbits(d[:, 1:] > d[:, :-1]).tobytes().hex()
 
 
