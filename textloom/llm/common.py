@@ -12,9 +12,11 @@ BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset one of our own in local mode, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
@@ -44,9 +46,15 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(id_text(column).cast("binary")) % modulus
 
 
-def narrow_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Smaller Arrow batches: a batch of long texts then fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def narrow_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Smaller Arrow batches, in rows and bytes: a batch of long texts then fits a Python worker.
+
+    Plans read these settings when they run, so they stay set; a caller's own smaller ones are kept.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = (spark.conf.get(f"spark.sql.execution.arrow.{name}") or "0").removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def cores(spark: SparkSession) -> int:

@@ -1,6 +1,7 @@
 """Words of whole texts as numpy arrays: UTF-8 bytes are classed, cut into words and hashed without a Python loop a word.
 
-Word hashes are 64 bits; equal words have equal hashes, different ones collide with a chance of 2**-64 a pair.
+Word hashes are 64 bits; equal words have equal hashes, different ones (of any length) collide with a chance of about
+2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -31,8 +32,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
+def _places(at: np.ndarray) -> np.ndarray:
+    """An odd factor for each place in a word; no two places have a common pattern, however far apart."""
+    return mix((at.astype(U64) + U64(1)) * U64(0xD1B54A32D192ED03)) | U64(1)
+
+
 _BYTE = mix(np.arange(1, 257, dtype=U64) * _MULTIPLIER)
-_PLACE = mix(np.arange(1, 65537, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+_PLACE = _places(np.arange(1 << 16))
 
 #: Separators x20, x09-x0D.
 SPACE = np.ones(256, dtype=bool)
@@ -98,7 +104,7 @@ def _segment(body: np.ndarray, edges: np.ndarray, keep: np.ndarray, base: int, h
         return np.zeros(0, U64), starts + base, ends + base
     run = np.diff(np.append(starts, len(body)))
     place = np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(body)) - np.repeat(starts, run)])
-    value = _BYTE[body] * _PLACE[place & 0xFFFF]
+    value = _BYTE[body] * (_PLACE[place] if place.max() < len(_PLACE) else _places(place))
     value[~inside] = 0
     return mix(np.add.reduceat(value, starts) + (ends - starts).astype(U64)), starts + base, ends + base
 
