@@ -6,8 +6,10 @@ of a class is drawn within it with (c + 1) / (C + V + 1), c its count, C and V t
 tokens, and 1 for what is unknown there. So a text's probability is that of its symbols (forward recursion, whole text)
 times those of its tokens within their classes.
 
-Counts cover all training texts. Counts of the most frequent tokens, HEAD at most, are broadcast; all others are joined.
-Baum-Welch goes over all training texts too, in runs of at most RUN tokens, each a sequence of its own.
+Counts cover all texts. Tokens that occur often in any text, HEAD at most, have their counts broadcast; all others, which
+are rare everywhere, are joined. Baum-Welch goes over whole training texts, a sequence each, until a pass gains less than
+GAIN of the log-likelihood or MOST_PASSES are done. Its backward recursion keeps forward weights at the edges of blocks
+only and makes those between anew, so a text of any length takes bounded memory beside its symbols.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as tok
@@ -27,10 +29,9 @@ OWN, CLASSES = 4095, 1024
 SYMBOLS = OWN + 1 + CLASSES
 #: Tokens whose counts are broadcast, at most (16 bytes each).
 HEAD = 1_000_000
-PASSES = 3
-RUN = 256
-#: Symbols worked on at once: in training (with their states' weights) and in scoring.
-TRAIN_AT_ONCE, SCORE_AT_ONCE = 400_000, 3_000_000
+MOST_PASSES, GAIN = 4, 1e-3
+#: Symbols whose states' weights are held at once in training, and symbols of texts taken together in training and scoring.
+BLOCK, AT_ONCE = 400_000, 3_000_000
 #: Weight, in tokens, of the symbols' overall shares in each state's emissions.
 PRIOR = 50.0
 U64 = np.uint64
@@ -64,6 +65,8 @@ class Model:
 
 def _by_time(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order of the sequences, longest first; symbols time by time; where each time's begin)."""
+    if len(sequences) == 1:
+        return np.zeros(1, np.int64), sequences[0], np.arange(len(sequences[0]) + 1)
     size = np.array([len(s) for s in sequences])
     order = np.argsort(-size, kind="stable")
     size = size[order]
@@ -94,37 +97,52 @@ def log10_likelihood(m: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 class Counts:
-    """Expected counts of Baum-Welch's first step."""
+    """Expected counts of Baum-Welch's first step, and the log10-likelihood under the model they were made with."""
 
     def __init__(self):
-        self.start, self.move, self.emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES))
+        self.start, self.move, self.emit, self.fit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)), 0.0
 
     def add(self, m: Model, sequences: list[np.ndarray]) -> None:
         _, symbols, edge = _by_time(sequences)
-        steps = len(edge) - 1
-        alpha, scale = np.empty((len(symbols), STATES)), np.empty(len(symbols))
-        for t in range(steps):
-            here = slice(edge[t], edge[t + 1])
-            n = edge[t + 1] - edge[t]
-            a = (m.start if t == 0 else alpha[edge[t - 1] : edge[t - 1] + n] @ m.move) * m.emit[symbols[here]]
-            scale[here] = a.sum(axis=1)
-            alpha[here] = a / scale[here][:, None]
-        beta, pairs = None, np.zeros((STATES, STATES))
-        for t in range(steps - 1, -1, -1):
-            here, n = slice(edge[t], edge[t + 1]), edge[t + 1] - edge[t]
-            own = np.ones((n, STATES))
-            if beta is not None:
-                k = len(beta)
-                ahead = slice(edge[t + 1], edge[t + 1] + k)
-                b = m.emit[symbols[ahead]] * beta / scale[ahead][:, None]
-                pairs += alpha[edge[t] : edge[t] + k].T @ b
-                own[:k] = b @ m.move.T
-            beta = own
-            alpha[here] *= beta  # from here on the states' weights
-        self.start += alpha[: edge[1]].sum(axis=0)
+        # blocks of times with BLOCK symbols at most (one time at least)
+        cuts = [0]
+        while cuts[-1] < len(edge) - 1:
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(edge, edge[cuts[-1]] + BLOCK, side="right")) - 1))
+        blocks = list(zip(cuts[:-1], cuts[1:], strict=True))
+
+        def forward(low: int, high: int, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            """Scaled weights and scales of the times low to high, from the weights one time before."""
+            base = edge[low]
+            alpha, scale = np.empty((edge[high] - base, STATES)), np.empty(edge[high] - base)
+            for t in range(low, high):
+                here, n = slice(edge[t] - base, edge[t + 1] - base), edge[t + 1] - edge[t]
+                a = (m.start if before is None else before[:n] @ m.move) * m.emit[symbols[edge[t] : edge[t + 1]]]
+                scale[here] = a.sum(axis=1)
+                before = alpha[here] = a / scale[here][:, None]
+            return alpha, scale
+
+        entry: list[np.ndarray | None] = [None]
+        for low, high in blocks[:-1]:
+            alpha, _ = forward(low, high, entry[-1])
+            entry.append(alpha[edge[high - 1] - edge[low] :].copy())
+        beta, pairs = None, np.zeros((STATES, STATES))  # beta: what follows the time after, with its symbols' emissions
+        for (low, high), before in zip(reversed(blocks), reversed(entry), strict=True):
+            alpha, scale = forward(low, high, before)
+            base = edge[low]
+            self.fit += float(np.log10(scale).sum())
+            for t in range(high - 1, low - 1, -1):
+                here, n = slice(edge[t] - base, edge[t + 1] - base), edge[t + 1] - edge[t]
+                own, a = np.ones((n, STATES)), alpha[here]
+                if beta is not None:
+                    pairs += a[: len(beta)].T @ beta
+                    own[: len(beta)] = beta @ m.move.T
+                beta = m.emit[symbols[edge[t] : edge[t + 1]]] * own / scale[here][:, None]
+                a *= own  # from here on the states' weights
+            if low == 0:
+                self.start += alpha[: edge[1]].sum(axis=0)
+            for k in range(STATES):
+                self.emit[:, k] += np.bincount(symbols[base : edge[high]], alpha[:, k], minlength=SYMBOLS)
         self.move += pairs * m.move
-        for s in range(STATES):
-            self.emit[:, s] += np.bincount(symbols, alpha[:, s], minlength=SYMBOLS)
 
     def rows(self) -> Iterator[tuple[int, int, np.ndarray]]:
         yield 0, 0, self.start
@@ -132,6 +150,7 @@ class Counts:
             yield 1, i, x
         for i in np.flatnonzero(self.emit.any(axis=1)):
             yield 2, int(i), self.emit[i]
+        yield 3, 0, np.full(STATES, self.fit)
 
 
 def improved(m: Model, counts: Counts, share: np.ndarray) -> Model:
@@ -142,12 +161,12 @@ def improved(m: Model, counts: Counts, share: np.ndarray) -> Model:
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _gather(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, size = [], 0
     for b in batches:
         held.append(b)
         size += b.column(b.schema.get_field_index("symbols")).nbytes // 2
-        if size >= most:
+        if size >= AT_ONCE:
             yield pa.Table.from_batches(held)
             held, size = [], 0
     if held:
@@ -158,100 +177,133 @@ def _sequences(t: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), "<u2") for x in t["symbols"]]
 
 
+def _alike(sequences: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Sequences of like lengths together, about BLOCK symbols at a time; a longer one comes alone."""
+    some, size = [], 0
+    for s in sorted(sequences, key=len):
+        if some and size + len(s) > BLOCK:
+            yield some
+            some, size = [], 0
+        some.append(s)
+        size += len(s)
+    if some:
+        yield some
+
+
 def _count(texts: DataFrame) -> DataFrame:
-    """h, cls, n: how often each token occurs in training texts."""
+    """h, cls, n, m: how often each token occurs in training texts, and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ends = b.num_rows
-            for _, _, data, at in tok.chunks(b.column(2)):
+            learned = ~b.column(1).to_numpy(zero_copy_only=False)
+            for low, high, data, at in tok.chunks(b.column(2)):
                 w, cls = tokens(data, at)
-                h, first, n = np.unique(w.hash, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls[first].astype(np.int32)), pa.array(n)], ["h", "cls", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([-1], pa.int32()), pa.array([ends])], ["h", "cls", "n"])
+                h, first, back, m = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+                n = np.bincount(back, learned[low:high][w.doc], minlength=len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls[first].astype(np.int32)), pa.array(n), pa.array(m)], ["h", "cls", "n", "m"])
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([-1], pa.int32()), pa.array([int(learned.sum())]), pa.array([b.num_rows])], ["h", "cls", "n", "m"])
+
+    return texts.mapInArrow(run, "h long, cls int, n long, m long").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _size_class(n: str) -> Column:
+    """Eighths of powers of two."""
+    return F.floor(F.log2(n) * 8)
 
-    return texts.where(~F.col("held_out")).mapInArrow(run, "h long, cls int, n long").where("n > 0").groupBy("h").agg(F.min("cls").alias("cls"), F.sum("n").alias("n"))
+
+def _threshold(counts: DataFrame, n: str, most: int) -> int:
+    """The least size class such that most rows at most are in it or above; from a histogram of some hundred rows."""
+    taken, least = 0, 1 << 20
+    for r in sorted(counts.groupBy(_size_class(n).alias("c")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["c"]):
+        taken += r["k"]
+        if taken > most:
+            break
+        least = r["c"]
+    return least
 
 
-def train(rows: DataFrame, share: np.ndarray, passes: int = PASSES) -> Model:
+def train(rows: DataFrame, share: np.ndarray, passes: int = MOST_PASSES) -> Model:
     """A model from rows' symbols: each pass sums the counts of all partitions."""
-    m = Model.initial(share)
+    m, last = Model.initial(share), None
     names = [f"s{i}" for i in range(STATES)]
     for _ in range(passes):
         shared = rows.sparkSession.sparkContext.broadcast(m)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             counts = Counts()
-            for t in _gather(batches, TRAIN_AT_ONCE):
-                runs = [s[i : i + RUN] for s in _sequences(t) for i in range(0, len(s), RUN)]
-                low = 0
-                while low < len(runs):
-                    high, size = low, 0
-                    while high < len(runs) and (high == low or size < TRAIN_AT_ONCE):
-                        size += len(runs[high])
-                        high += 1
-                    counts.add(shared.value, runs[low:high])
-                    low = high
+            for t in _gather(batches):
+                for some in _alike(_sequences(t)):
+                    counts.add(shared.value, some)
             kind, idx, values = zip(*counts.rows(), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(idx, pa.int32()), *(pa.array(c) for c in np.array(values).T)], ["kind", "idx", *names])
 
         got = rows.where(~F.col("held_out")).select("symbols").mapInArrow(expect, "kind int, idx int, " + ", ".join(f"{n} double" for n in names)).groupBy("kind", "idx").agg(*[F.sum(n).alias(n) for n in names]).collect()  # one row a symbol at most
         counts = Counts()
         for r in got:
-            table = (counts.start[None], counts.move, counts.emit)[r["kind"]]
-            table[r["idx"]] = [r[n] for n in names]
+            if r["kind"] == 3:
+                counts.fit = r["s0"]
+            else:
+                (counts.start[None], counts.move, counts.emit)[r["kind"]][r["idx"]] = [r[n] for n in names]
         m = improved(m, counts, share)
         shared.destroy()
+        if last is not None and counts.fit - last < -GAIN * last:
+            break
+        last = counts.fit
     return m
 
 
+def _lookup(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each h is one of the sorted keys, and its value, 0 if it is none."""
+    if not len(keys):
+        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
+    place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    found = keys[place] == h
+    return found, np.where(found, values[place], 0)
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
-    Learned from rows whose crc32(doc_id as text) mod modulus is not held. A null text is the end alone. Repeated rows are
-    learned from and scored each by itself. Without training rows all tokens are unknown and base_score is 0. An empty
-    table gives an empty result; other columns are not looked at.
+    Learned from rows whose crc32(doc_id as text) mod modulus is not held. A null or empty text is the end alone; a very
+    long one is counted, learned from and scored whole. Repeated rows are learned from and scored each by itself. Of
+    tokens with nearly equal counts all or none have a symbol of their own, so ties don't depend on order. Without
+    training rows all tokens are unknown and base_score is 0. An empty table gives an empty result; other columns,
+    whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     narrow_batches(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", (remainder(modulus) == held).alias("held_out"), F.col("text").cast("string").alias("text"))
     counts = cut(_count(texts))
-    N, V = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # tokens of the largest counts, by powers of two, as long as no more than HEAD are taken
-    sizes = sorted(counts.groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("m")).collect(), key=lambda r: -r["b"])
-    least, taken = 1 << 62, 0
-    for r in sizes:
-        taken += r["m"]
-        if taken > HEAD:
-            break
-        least = 1 << r["b"]
-    head = counts.where(F.col("n") >= least).select("h", "n").toArrow()  # HEAD rows at most, as columns: 16 bytes each
+    N, V = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    head_class = _threshold(counts, "m", HEAD)
+    in_head = _size_class("m") >= head_class
+    head = counts.where(in_head).select("h", "n").toArrow()  # HEAD rows at most, as columns: 16 bytes each
     order = np.argsort(head["h"].to_numpy())
     head_h, head_n = head["h"].to_numpy()[order], head["n"].to_numpy()[order]
-    top = counts.where(F.col("h") != F.lit(int(END))).orderBy(F.desc("n"), "h").limit(OWN).select("h", "n").toArrow()
-    own_h = np.sort(top["h"].to_numpy().astype(np.int64))
+    trained = counts.where((F.col("n") > 0) & (F.col("h") != F.lit(int(END))))
+    top = trained.where(_size_class("n") >= _threshold(trained, "n", OWN)).select("h", "n").toArrow()  # OWN rows at most
+    order = np.argsort(top["h"].to_numpy())
+    own_h, own_n = top["h"].to_numpy()[order].astype(np.int64), top["n"].to_numpy()[order].astype(np.int64)
     own = spark.createDataFrame([(int(h),) for h in [*own_h, END]], "own long")
-    per = {r["cls"]: (r["c"], r["v"]) for r in counts.join(F.broadcast(own), F.col("h") == F.col("own"), "left_anti").groupBy("cls").agg(F.sum("n").alias("c"), F.count("*").alias("v")).collect()}
+    per = {r["cls"]: (r["c"], r["v"]) for r in trained.join(F.broadcast(own), F.col("h") == F.col("own"), "left_anti").groupBy("cls").agg(F.sum("n").alias("c"), F.count("*").alias("v")).collect()}
     room = np.array([sum(per.get(c, (0, 0))) + 1 for c in range(CLASSES)], np.float64)
-    number = dict(zip(top["h"].to_pylist(), top["n"].to_pylist(), strict=True))
     ends = next(iter(counts.where(F.col("h") == F.lit(int(END))).select("n").collect()), [0])[0]
-    share = np.array([number.get(int(h), 0) for h in own_h] + [0] * (OWN - len(own_h)) + [ends] + [per.get(c, (0, 0))[0] for c in range(CLASSES)], np.float64) + 1
+    share = np.array([*own_n] + [0] * (OWN - len(own_h)) + [ends] + [per.get(c, (0, 0))[0] for c in range(CLASSES)], np.float64) + 1
     share /= share.sum()
-    shared = spark.sparkContext.broadcast((head_h, head_n, own_h, np.log10(room), int(ends)))
+    shared = spark.sparkContext.broadcast((head_h, head_n, own_h, own_n, np.log10(room), int(ends)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, head_n, own_h, log_room, ends = shared.value
+        head_h, head_n, own_h, own_n, log_room, ends = shared.value
         log_end = np.log10(ends + 1)
         for b in batches:
             for low, high, data, at in tok.chunks(b.column(2)):
                 w, cls = tokens(data, at)
                 h, first, back = np.unique(w.hash.view(np.int64), return_index=True, return_inverse=True)
-                place = np.minimum(np.searchsorted(head_h, h), max(0, len(head_h) - 1))
-                known = head_h[place] == h if len(head_h) else np.zeros(len(h), bool)
-                c = np.where(known, head_n[place], 0) if len(head_h) else np.zeros(len(h), np.int64)
-                mine = np.minimum(np.searchsorted(own_h, h), max(0, len(own_h) - 1))
-                is_own = own_h[mine] == h if len(own_h) else np.zeros(len(h), bool)
+                known, c = _lookup(head_h, head_n, h)
+                is_own, own_c = _lookup(own_h, own_n, h)
+                known, c = known | is_own, np.where(is_own, own_c, c)
+                mine = np.searchsorted(own_h, h)
                 symbol = np.where(is_own, mine, OWN + 1 + cls[first])[back]
                 n, firsts = w.texts, w.firsts()
                 per_doc = lambda x: np.bincount(w.doc, x, minlength=n).astype(np.float64)
@@ -265,7 +317,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(w.counts() + 1),
-                        pa.array(per_doc(known[back]).astype(np.int64) + (ends > 0)), pa.array(per_doc(log_c) + log_end),
+                        pa.array(per_doc((c > 0)[back]).astype(np.int64) + (ends > 0)), pa.array(per_doc(log_c) + log_end),
                         pa.array(per_doc(np.where(in_class, log_c - log_room[np.maximum(symbol - OWN - 1, 0)], 0.0))),
                         pa.array([u2[s:e].tobytes() + stop for s, e in zip(firsts[:-1], firsts[1:], strict=True)], pa.binary()), tail,
                     ],
@@ -277,12 +329,12 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     model = spark.sparkContext.broadcast(train(rows, share))
 
     def forward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _gather(batches, SCORE_AT_ONCE):
+        for t in _gather(batches):
             yield from t.drop_columns(["symbols"]).append_column("hidden", pa.array(log10_likelihood(model.value, _sequences(t)))).combine_chunks().to_batches()
 
     scored = rows.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "within", "symbols").mapInArrow(forward, f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, within double, hidden double")
     tail = rows.select("rid", F.explode("tail").alias("t")).select("rid", F.col("t.h").alias("h"), F.col("t.times").alias("times"))
-    rest = counts.where(F.col("n") < least).select("h", "n")
+    rest = counts.where(~in_head & (F.col("n") > 0)).select("h", "n")
     found = tail.join(rest, "h").groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("known"))
     more, known = (F.coalesce(F.col(c), F.lit(0)) for c in ("more", "known"))
     return scored.join(found, "rid", "left").select(
