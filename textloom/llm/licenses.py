@@ -1,9 +1,9 @@
 """License scans by diagonal voting.
 
-All rolling K-word hashes of the texts meet the positions of the same hashes in templates in a Spark join (a fixed
-list of the templates' hashes first drops those that no template has). A shared hash at word p of a text and
-word q of a template votes for the diagonal p - q; votes are summed by diagonal, neighbouring diagonals are merged, and
-each merged span is verified word by word against its template.
+All rolling K-word hashes of all texts meet the positions of the same hashes in templates in a Spark join. A hash shared
+by word p of a text and word q of a template votes for the diagonal p - q; votes are summed by diagonal, neighbouring
+diagonals are merged, and each merged span is verified against its template: by the share of the template's words that lie
+in runs of K words which the span repeats, so scattered words count for nothing.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ from .common import cut, narrow_batches
 K = 3
 #: Diagonals at most so far apart belong to one span (words inserted or left out).
 DRIFT = 3
-#: A span is reported if so large a share of its template's words is in it, in place.
+#: A span is reported if so large a share of its template's words is in it, in runs of K.
 LEAST = 0.7
 #: Phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -49,15 +48,16 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def template_positions(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
-    """gram, template, place: one row for each K-word run of each template; a few hundred rows, fixed by the templates."""
-    rows = [(int(g), t, q) for t, (_, text) in enumerate(templates) for q, g in enumerate(tok.grams(_hashes(text), K).view(np.int64))]
-    return spark.createDataFrame(rows, "gram long, template int, place int")
+    """gram, places (template, place): one row for each K-word run of the templates; a few hundred rows, fixed by the templates."""
+    places: dict[int, list[tuple[int, int]]] = {}
+    for t, (_, text) in enumerate(templates):
+        for q, g in enumerate(tok.grams(_hashes(text), K).view(np.int64).tolist()):
+            places.setdefault(g, []).append((t, q))
+    return spark.createDataFrame(list(places.items()), "gram long, places array<struct<template:int,place:int>>")
 
 
-def _first_pass(docs: DataFrame, templates) -> DataFrame:
-    known = np.unique(np.concatenate([tok.grams(_hashes(text), K) for _, text in templates]))
-    bits = np.zeros(1 << 16, bool)
-    bits[(known & tok.U64(0xFFFF)).astype(np.int64)] = True
+def _first_pass(docs: DataFrame) -> DataFrame:
+    """What the base columns need, and grams: the hash of each run of K words, by its first word."""
     phrases = [(_hashes(p), label) for p, label in BASE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,65 +81,45 @@ def _first_pass(docs: DataFrame, templates) -> DataFrame:
                     np.maximum.at(last, d, i - firsts[d])
                     for x in np.unique(d):
                         labels[x].add(label)
-                g = tok.grams(w.hash, K)
-                i = np.flatnonzero(bits[(g & tok.U64(0xFFFF)).astype(np.int64)] & tok.same_text(w.doc, K))
-                i = i[np.isin(g[i], known)]
-                edge = np.searchsorted(w.doc[i], np.arange(n + 1))
-                hits = pa.StructArray.from_arrays([pa.array(g[i].view(np.int64)), pa.array((i - firsts[w.doc[i]]).astype(np.int32))], ["gram", "pos"])
-                # true hits are rare, so the words travel only with the few texts that have a hit
-                some = np.diff(edge) > 0
-                body = [w.hash[firsts[x] : firsts[x + 1]].view(np.int64) if some[x] else None for x in range(n)]
+                g, m = tok.grams(w.hash, K)[tok.same_text(w.doc, K)], np.maximum(w.counts() - K + 1, 0)
+                edge = np.concatenate([[0], np.cumsum(m)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(low, high - low), pa.array(w.counts()), pa.array(count),
                         pa.array(lead, mask=count == 0), pa.array(last, mask=count == 0), pa.array([",".join(sorted(x)) for x in labels]),
-                        pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), hits), pa.array(body, pa.list_(pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(edge), pa.array(g.view(np.int64))),
                     ],
-                    ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "hits", "body"],
+                    ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "grams"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, hits array<struct<gram:bigint,pos:int>>, body array<bigint>"
+    schema = f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, grams array<bigint>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def _verifier(templates):
-    hashed = [_hashes(text).view(np.int64) for _, text in templates]
-
-    def share(body, template: int, low: int, high: int) -> float:
-        """Share of the template's words that stand in the text on a diagonal from low to high."""
-        body, t = np.asarray(body), hashed[template]
-        q, found = np.arange(len(t)), np.zeros(len(t), bool)
-        for diagonal in range(low, high + 1):
-            p = q + diagonal
-            ok = (p >= 0) & (p < len(body))
-            found[ok] |= body[p[ok]] == t[ok]
-        return float(found.mean())
-
-    return share
+_BASE = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
 def spans(docs: DataFrame, templates=TEMPLATES) -> tuple[DataFrame, DataFrame]:
     """(a row for each row of docs, keyed by rid; verified spans: rid, template, start_word, end_word, share)."""
     spark = docs.sparkSession
     narrow_batches(spark)
-    rows = cut(_first_pass(docs, templates)).withColumn("rid", F.monotonically_increasing_id())
-    hits = rows.where(F.size("hits") > 0).select("rid", F.explode("hits").alias("h")).select("rid", "h.gram", "h.pos")
-    votes = hits.join(F.broadcast(template_positions(spark, templates)), "gram")
-    by = votes.groupBy("rid", "template", (F.col("pos") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+    rows = _first_pass(docs).withColumn("rid", F.monotonically_increasing_id())
+    # a row of a text without runs of K words comes through with no gram; the base columns stay with a text's first row
+    all_ = rows.select("rid", F.struct(*_BASE).alias("base"), F.posexplode_outer("grams").alias("pos", "gram"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    all_ = all_.select("rid", "pos", "gram", F.when(first, F.col("base")).alias("base"))
+    joined = all_.join(F.broadcast(template_positions(spark, templates)), "gram", "left").where(F.col("places").isNotNull() | F.col("base").isNotNull())
+    joined = cut(joined.select("rid", "pos", "places", "base"))
+    rows = joined.where(F.col("base").isNotNull()).select("rid", "base.*")
+    votes = joined.where(F.col("places").isNotNull()).select("rid", "pos", F.explode("places").alias("p")).select("rid", "p.template", "p.place", "pos", (F.col("pos") - F.col("p.place")).alias("diagonal"))
+    by = votes.groupBy("rid", "template", "diagonal").agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("place").alias("places"))  # a template's places at most
     order = W.partitionBy("rid", "template").orderBy("diagonal")
     new = (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int")
-    islands = by.withColumn("island", F.sum(F.coalesce(new, F.lit(0))).over(order)).groupBy("rid", "template", "island").agg(
-        F.sum("votes").alias("votes"), F.min("diagonal").alias("d_low"), F.max("diagonal").alias("d_high"), F.min("low").alias("start_word"), (F.max("high") + K).alias("end_word")
-    )
-    share = _verifier(templates)
-
-    @F.pandas_udf("double")
-    def verify(body: pd.Series, template: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        return pd.Series([share(*x) for x in zip(body, template, low, high, strict=True)], dtype=float)
-
-    found = islands.join(rows.where(F.size("hits") > 0).select("rid", "body"), "rid")
-    found = found.withColumn("share", verify("body", "template", "d_low", "d_high")).where(F.col("share") >= LEAST)
+    by = by.withColumn("island", F.sum(F.coalesce(new, F.lit(0))).over(order)).withColumn("word", F.explode(F.array_distinct(F.flatten(F.transform("places", lambda q: F.sequence(q, q + K - 1))))))
+    lengths = F.array(*[F.lit(len(text.split())) for _, text in templates])
+    islands = by.groupBy("rid", "template", "island").agg(F.min("low").alias("start_word"), (F.max("high") + K).alias("end_word"), F.collect_set("word").alias("words"))
+    found = islands.withColumn("share", F.size("words") / F.element_at(lengths, F.col("template") + 1)).where(F.col("share") >= LEAST)
     return rows, found.select("rid", "template", "start_word", "end_word", "share")
 
 
@@ -147,8 +127,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each row of docs.
 
     score: the largest verified share of a template, 0.5 at least if a base phrase occurs, else 0. A null text counts
-    as empty: no words, no labels, score 0. Repeated rows are scanned each by itself; an empty table gives an empty
-    result; other columns are not looked at.
+    as empty: no words, no labels, score 0. A very long text is scanned whole, and a template that stands in it often votes
+    for each place. Repeated rows are scanned each by itself, spans of equal start by end and label; an empty table gives
+    an empty result; other columns, whatever their names, are not looked at.
     """
     rows, found = spans(docs, templates)
     names = F.array(*[F.lit(label) for label, _ in templates])
@@ -156,7 +137,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         F.collect_set(F.element_at(names, F.col("template") + 1)).alias("named"), F.max("share").alias("share"),
         F.sort_array(F.collect_list(F.struct("start_word", "end_word", F.element_at(names, F.col("template") + 1).alias("label"), "share"))).alias("spans"),
     )
-    both = rows.drop("hits", "body").join(per, "rid", "left")
+    both = rows.join(per, "rid", "left")
     base = F.filter(F.split("base_labels", ","), lambda x: x != "")
     return both.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels",
