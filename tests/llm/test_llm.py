@@ -66,11 +66,10 @@ def test_mixing(spark, docs, empty):
     db = duckdb.connect()
     db.register("documents", docs.toPandas())
     want = db.sql(mixing.mix_sql()).df()
-    key = ["doc_id", "size", "source_size", "target"]
-    assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, want[key].values.tolist()))
+    assert list(got.columns) == list(want.columns) and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
     again = mixing.mix(docs.repartition(2)).toPandas()
     assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, again.values.tolist()))
-    assert abs(got["target"].sum() - 0) >= 0 and mixing.mix(empty).count() == 0
+    assert mixing.mix(empty).count() == 0
     taken = mixing.take(docs)
     assert taken.columns == docs.columns and mixing.take(empty).count() == 0
     words = lambda df: df.select(F.sum(mixing.n_words(F.col("text")))).first()[0]
