@@ -85,12 +85,19 @@ def components(prints: np.ndarray, starts: np.ndarray, radius: int, alike: Calla
 
     def link(q: np.ndarray) -> None:
         a, b = forest.search(q, radius)
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        if alike is not None and len(a):
-            ok = np.concatenate([alike(a[i : i + 20_000], b[i : i + 20_000]) for i in range(0, len(a), 20_000)])
-            a, b = a[ok], b[ok]
-        union(label, a, b)
+        if alike is None:
+            union(label, a, b)
+            return
+        # some pairs at a time: most are connected by those before and need no look
+        low, step = 0, 500
+        while low < len(a):
+            x, y = a[low : low + step], b[low : low + step]
+            apart = label[x] != label[y]
+            x, y = x[apart], y[apart]
+            if len(x):
+                ok = alike(x, y)
+                union(label, x[ok], y[ok])
+            low, step = low + step, min(20_000, 2 * step)
 
     small = np.flatnonzero(np.repeat(sizes <= SMALL, sizes))
     for i in range(0, len(small), 20_000):

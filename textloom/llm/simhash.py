@@ -1,15 +1,16 @@
 """SimHash near-deduplication with BK-trees.
 
 Texts are reduced to 64-bit SimHash fingerprints; equal fingerprints become one row. Rows meet in shards, each shard is
-a BK-tree that its tasks build and search; what is linked there is joined to components over the whole table.
+a BK-tree that its task builds and searches; what is linked there is joined to components over the whole table.
 
 Shards are trees over a bounded part of the rows. They travel by shuffle to the tasks that search them, not by a
 broadcast from the driver, since the driver must not gather the fingerprints of all documents:
   near fingerprints (radius r): one shard for each value of each of r + 1 blocks of bits. Two fingerprints that differ
-    in at most r bits agree in one block whole, so every link is met (pigeonhole).
+    in at most r bits agree in one block whole, so every link is met (pigeonhole). In a shard with more than SHARD
+    fingerprints the other bits are cut into r + 1 blocks again, and so on: r + 1 rows for one, however large the shard.
   similar texts (Jaccard similarity of shingles): one shard for each value of each band of min-hashes; a link must lie
-    within the radius, and the similarity that sketches of its texts' shingles show must be large enough.
-A shard with more than SHARD rows is split; each pair of its parts is a task.
+    within the radius, and the similarity of the two sets of shingles must be large enough. A shard with more than SHARD
+    rows is split; each pair of its parts is a task.
 """
 
 from __future__ import annotations
@@ -24,18 +25,18 @@ from pyspark.sql import functions as F
 
 from . import words as tok
 from .bktree import components
-from .common import cut, narrow_batches
+from .common import checked_broadcast, cut, narrow_batches
 
 SEED = 42
 SHARD = 20_000
+#: Shards of fingerprints that agree in all but so many bits are not cut further: they hold 2 ** LEAST_BITS at most.
+LEAST_BITS = 14
 U64 = np.uint64
 _LANES = U64(0x0101010101010101)
 #: Min-hashes by which texts meet: at a similarity of 0.8 a pair misses all bands with a chance of 0.0008.
 BANDS, ROWS = 10, 3
-#: Cells of a text's sketch, by which similarity is judged: exact up to collisions for texts with fewer shingles, a sample for others.
-CELLS = 256
-#: Sketches err by 0.01 (short texts) to 0.025; a link is accepted from similarity less SLACK, so that hardly one at the threshold is lost.
-SLACK = 0.04
+#: Cells of a sketch of a text's shingles. Pairs whose sketches show a similarity less by SLACK (almost five deviations) are not looked at further.
+CELLS, SLACK = 256, 0.12
 #: Fingerprints of sets at a similarity of 0.8 differ in each bit with a chance of up to 0.1875 (four and five shingles;
 #: 0.151 for long texts), so in more than RADIUS of 64 bits with one below 0.00001, far below that of missing all bands.
 RADIUS = 28
@@ -115,8 +116,30 @@ def sketch_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b) & (a > 0)).sum(axis=1) / np.maximum(1, ((a > 0) | (b > 0)).sum(axis=1))
 
 
+def short_sets(hashes: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """The upper 32 bits of each text's (distinct, sorted) hashes, each once: two texts' sets tell their similarity up to rare collisions."""
+    doc, h = np.repeat(np.arange(len(edge) - 1), np.diff(edge)), (hashes >> U64(32)).astype(np.uint32)
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    at = 4 * np.searchsorted(doc[new], np.arange(len(edge)))
+    raw = h[new].tobytes()
+    return [raw[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(both) - common)
+
+
 def with_fingerprints(docs: DataFrame, shingle: int, signed: bool = False) -> DataFrame:
-    """docs' columns doc_id, text's fingerprint fp (long) and, if signed, bands (array of keys) and sig (binary)."""
+    """docs' columns doc_id, text's fingerprint fp (long) and, if signed, bands (array of keys), sig (short set of shingles, binary) and k.
+
+    A signed fingerprint counts each shingle once.
+    """
     narrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +148,12 @@ def with_fingerprints(docs: DataFrame, shingle: int, signed: bool = False) -> Da
                 hashes, edge = shingle_hashes(data, at, shingle)
                 cols = [b.column(0).slice(low, high - low), pa.array(fingerprints(hashes, edge).view(np.int64))]
                 if signed:
+                    hashes, edge = distinct(hashes, edge)
                     sig = min_hashes(hashes, edge)
-                    cols[1] = pa.array(fingerprints(*distinct(hashes, edge)).view(np.int64))
+                    cols[1] = pa.array(fingerprints(hashes, edge).view(np.int64))
                     keys = sum((tok.mix(sig[:, r::ROWS] + U64(r)) for r in range(ROWS)), np.zeros((1, 1), U64)) + np.arange(BANDS, dtype=U64)
                     flat = pa.array(tok.mix(keys).view(np.int64).ravel())
-                    cols += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32)), flat), pa.array([x.tobytes() for x in sketches(hashes, edge)], pa.binary()), b.column(2).slice(low, high - low)]
+                    cols += [pa.ListArray.from_arrays(pa.array(np.arange(0, len(sig) * BANDS + 1, BANDS, dtype=np.int32)), flat), pa.array(short_sets(hashes, edge), pa.binary()), b.column(2).slice(low, high - low)]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "fp", "bands", "sig", "k"][: len(cols)])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long" + ", bands array<bigint>, sig binary, k long" * signed
@@ -137,51 +161,94 @@ def with_fingerprints(docs: DataFrame, shingle: int, signed: bool = False) -> Da
     return (texts.withColumn("k", _text_key()) if signed else texts).mapInArrow(run, schema)
 
 
-def block_keys(radius: int) -> Column:
-    """The values of radius + 1 blocks of the bits of fp, each with its block's number above."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.shiftrightunsigned(F.col("fp"), a).bitwiseAND(F.lit((1 << (b - a)) - 1)) + F.lit(i << 40) if b - a < 40 else F.shiftrightunsigned(F.col("fp"), a) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+def _splits(radius: int) -> list[int]:
+    """Masks of the bits that agree, by path: path p's children are p * (radius + 1) + 1 and on, path 0 is the start (no bits)."""
+    n = radius + 1
+    masks, free, level = {0: 0}, {0: list(range(64))}, [0]
+    while level and len(free[level[0]]) > LEAST_BITS:
+        below = []
+        for p in level:
+            for j, block in enumerate(np.array_split(np.array(free[p]), n)):
+                child = p * n + 1 + j
+                masks[child] = masks[p] | sum(1 << int(i) for i in block)
+                free[child] = [i for i in free[p] if not masks[child] >> i & 1]
+                below.append(child)
+        level = below
+    return [masks[p] - (1 << 64 if masks[p] >> 63 else 0) for p in sorted(masks)]
+
+
+def _met_by_blocks(items: DataFrame, radius: int) -> DataFrame:
+    """id, fp, key: items (id, fp), once for each shard of SHARD items at most that they share with others."""
+    n, masks = radius + 1, _splits(radius)
+    leaves = len(masks) - (len(masks) - 1) // n  # paths without children stand last
+    mask = F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("path") + 1)
+    level, out = items.select("id", "fp", F.lit(0).alias("path")), None
+    while True:
+        level = level.select("id", "fp", F.explode(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda j: F.col("path") * n + j)).alias("path"))
+        level = level.withColumn("key", F.xxhash64("path", F.col("fp").bitwiseAND(mask)))
+        count = cut(level.groupBy("key").agg(F.count("*").alias("n"), F.max("path").alias("at")).where("n > 1"))
+        hot = (F.col("n") > SHARD) & (F.col("at") < len(masks) - leaves)
+        cold = level.join(count.where(~hot).select("key"), "key").select("id", "fp", "key")
+        out = cold if out is None else out.union(cold)
+        hot_keys = count.where(hot).select("key")
+        if not hot_keys.take(1):
+            return out
+        level = cut(level.join(hot_keys, "key").select("id", "fp", "path"))
+
+
+def _met_by_bands(items: DataFrame, sets: DataFrame) -> DataFrame:
+    """id, fp, key, sig: items (id, fp, keys, rid), once for each task that searches (a pair of parts of) a shard; sets: rid, sig."""
+    rows = items.select("id", "fp", "rid", F.explode(F.array_distinct("keys")).alias("key"))
+    count = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int"))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, part) * 65536 + F.greatest(x, part))
+    met = rows.join(count, "key").select("id", "fp", "rid", F.explode(F.transform(pairs, lambda x: F.xxhash64("key", x))).alias("key"))
+    return met.join(sets, "rid").drop("rid")  # sets travel only with rows that share a shard
 
 
-def links(items: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
+def links(met: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
     """u, v: for each item its component within a shard, as a star: linear in the items of a shard, however many links it has.
 
-    items: id, fp, keys (array of shard keys), and sig if similarity is given.
+    met: id, fp, key (of the shard), and sig if similarity is given.
     """
-    more = ["sig"] if similarity is not None else []
-    rows = items.select("id", "fp", F.explode(F.array_distinct("keys")).alias("key"), F.col("id").alias("item"))
-    count = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int"))
-    met = rows.drop("item").join(count, "key")
-    if more:  # the signature travels only with rows that share a shard
-        met = met.join(items.select("id", *more), "id")
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    own, pair = part, F.sequence(F.lit(0), F.col("parts") - 1)
-    met = met.select("id", "fp", "key", *more, F.explode(F.transform(pair, lambda x: F.least(x, own) * 65536 + F.greatest(x, own))).alias("task"))
+    kind = met.schema["id"].dataType.simpleString()
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def solve(t: pa.Table) -> pa.RecordBatch:
-            ids, fp = t["id"].to_numpy(), t["fp"].to_numpy().view(U64)
-            key, task = t["key"].to_numpy(), t["task"].to_numpy()
-            new = np.append(True, (key[1:] != key[:-1]) | (task[1:] != task[:-1]))
+            t = t.combine_chunks()
+            ids, fp, key = t["id"].combine_chunks(), t["fp"].to_numpy().view(U64), t["key"].to_numpy()
+            new = np.append(True, key[1:] != key[:-1])
             alike = None
             if similarity is not None:
-                sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), CELLS)
-                alike = lambda a, b: sketch_similarity(sig[a], sig[b]) >= similarity - SLACK
+                sig = t["sig"].combine_chunks()
+                at = np.frombuffer(sig.buffers()[1], np.int32)[sig.offset : sig.offset + len(sig) + 1] // 4
+                values = np.frombuffer(sig.buffers()[2] or b"", np.uint32)
+                values, at = values[at[0] : at[-1]], at - at[0]
+                sketch = sketches(values.astype(U64) << U64(32), at)
+
+                def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                    ok = sketch_similarity(sketch[a], sketch[b]) >= similarity - SLACK
+                    ok |= (at[a + 1] == at[a]) & (at[b + 1] == at[b])
+                    for i in np.flatnonzero(ok).tolist():
+                        x, y = a[i], b[i]
+                        ok[i] = similarity_of(values[at[x] : at[x + 1]], values[at[y] : at[y + 1]]) >= similarity
+                    return ok
+
             label = components(fp, np.flatnonzero(new), radius, alike)
-            out = label != np.arange(len(label))
-            return pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(ids[label[out]])], ["u", "v"])
+            out = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(out)), ids.take(pa.array(label[out]))], ["u", "v"])
 
         def whole(t: pa.Table) -> int:
-            """Rows before the last group."""
-            key, task = t["key"].to_numpy(), t["task"].to_numpy()
-            new = np.flatnonzero((key[1:] != key[:-1]) | (task[1:] != task[:-1]))
+            """Rows before the last shard."""
+            key = t["key"].to_numpy()
+            new = np.flatnonzero(key[1:] != key[:-1])
             return int(new[-1]) + 1 if len(new) else 0
 
         for b in batches:
             held.append(b)
-            if sum(x.num_rows for x in held) >= 50_000:
+            if sum(x.num_rows for x in held) >= 50_000 or sum(x.nbytes for x in held) >= 64 << 20:
                 t = pa.Table.from_batches(held)
                 if n := whole(t):
                     yield solve(t.slice(0, n))
@@ -189,7 +256,7 @@ def links(items: DataFrame, radius: int, similarity: float | None = None) -> Dat
         if held:
             yield solve(pa.Table.from_batches(held))
 
-    return met.repartition("key", "task").sortWithinPartitions("key", "task", "id").mapInArrow(search, "u long, v long").where("u != v").distinct()
+    return met.repartition("key").sortWithinPartitions("key", "id").mapInArrow(search, f"u {kind}, v {kind}").where("u != v").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -213,16 +280,16 @@ def classes(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id of each row: fingerprints link if they differ in at most radius bits.
 
     component_id is the smallest doc_id that can be reached over links, itself included. A text without words (null or
-    empty) has fingerprint 0, linked like any other; a null id never becomes a component_id while its component has
-    another; repeated rows stay rows. An empty table gives an empty result; other columns are not looked at.
+    empty) has fingerprint 0, linked like any other; a very long one is fingerprinted whole; a null id never becomes a
+    component_id while its component has another; repeated rows stay rows, and of equal fingerprints all are in one class.
+    An empty table gives an empty result; other columns, whatever their names, are not looked at.
     """
     rows = cut(with_fingerprints(docs, shingle))
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    items = prints.select(F.col("fp").alias("id"), "fp", block_keys(radius).alias("keys"))
-    root = connected(links(items, radius))
-    roots = prints.join(root, prints["fp"] == root["id"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(roots.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # a fingerprint's name is in the order of its smallest doc_id, so a component's smallest name tells its class
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("id"))
+    root = connected(links(_met_by_blocks(prints, radius), radius))
+    named = prints.join(root, "id", "left").select("fp", F.coalesce("root", "id")["least"].alias("component_id"))
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def _text_key() -> Column:
@@ -232,25 +299,37 @@ def _text_key() -> Column:
 def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """doc_id, k, kept_id, kept for each row of docs: one document of each group of similar texts is kept, that with the smallest doc_id.
 
-    Texts link if the similarity of their sketches of shingles reaches the given one and their fingerprints lie
-    within radius. These fingerprints count each shingle once, as the similarity does. k: a digest of id and text.
+    Texts link if the similarity of their whole sets of shingles reaches the given one and their fingerprints (which count
+    each shingle once, as the similarity does) lie within radius. k: a digest of id and text; both together name a
+    document. A null or wordless text has no shingle, and such texts are alike; a text of fewer words than a shingle is
+    one shingle; very long texts are compared whole. Of equal doc_ids the least k comes first; a null one is the smallest.
     """
-    rows = cut(with_fingerprints(docs, shingle, signed=True)).withColumn("id", F.xxhash64("fp", "sig"))
-    texts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "k")).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("keys"), F.first("sig").alias("sig"))
-    root = connected(links(texts.select("id", "fp", "keys", "sig"), radius, similarity))
-    roots = texts.select("id", "least").join(root, "id", "left").select("id", "least", F.coalesce("root", "id").alias("root"))
-    best = roots.groupBy("root").agg(F.min("least").alias("best"))
-    named = roots.join(best, "root").select("id", F.col("best.doc_id").alias("kept_id"), F.col("best.k").alias("kept_k"))
-    return rows.select("doc_id", "k", "id").join(named, "id").select("doc_id", "k", "kept_id", (F.col("k") == F.col("kept_k")).alias("kept"))
+    rows = cut(with_fingerprints(docs, shingle, signed=True)).withColumns({"set": F.xxhash64("sig"), "rid": F.monotonically_increasing_id()})
+    # equal sets of shingles are one item, named by its first document
+    texts = rows.groupBy("fp", "set").agg(F.min(F.struct("doc_id", "k", "rid")).alias("id"), F.first("bands").alias("keys"))
+    met = _met_by_bands(texts.select("id", "fp", "keys", F.col("id.rid").alias("rid")), rows.select("rid", "sig"))
+    root = connected(links(met, radius, similarity))
+    named = texts.select("fp", "set", "id").join(root, "id", "left").select("fp", "set", F.coalesce("root", "id").alias("root"))
+    both = rows.select("doc_id", "k", "fp", "set").join(named, ["fp", "set"])
+    return both.select("doc_id", "k", F.col("root.doc_id").alias("kept_id"), (F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("k") == F.col("root.k"))).alias("kept"))
 
 
 def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs that stay: of each group of similar texts the row with the smallest doc_id, with docs' own columns.
+    """The rows of docs that stay: of each group of similar texts the row with the smallest doc_id, with docs' own columns, whatever their names.
 
     Texts without words are one group. Of rows that repeat a doc_id and a text one stays; a null doc_id counts as the
-    smallest. An empty table gives an empty result.
+    smallest; very long texts are compared whole. An empty table gives an empty result. Only rows that go are looked up,
+    by broadcast if a count allows it, so the texts that stay are not shuffled.
     """
-    keep = similar(docs, shingle, similarity).where("kept").select(F.col("k").alias("kept_k")).distinct()
+    found = similar(docs, shingle, similarity).groupBy(F.col("doc_id").alias("g_id"), F.col("k").alias("g_k")).agg(F.first("kept").alias("g_kept"), F.count("*").alias("g_n"))
+    gone = cut(found.where(~F.col("g_kept") | (F.col("g_n") > 1)))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(own.alias("row"), _text_key().alias("k"))
-    return rows.join(keep, F.col("k") == F.col("kept_k"), "left_semi").groupBy("k").agg(F.first("row").alias("row")).select("row.*")
+    rows = docs.select(own.alias("row"), "doc_id", _text_key().alias("k"))
+    same = lambda g: F.col("doc_id").eqNullSafe(g["g_id"]) & (F.col("k") == g["g_k"])
+    side = checked_broadcast(gone.select("g_id", "g_k"), 500_000)  # 100 bytes a row
+    left = rows.join(side, same(side), "left_anti").select("row.*")
+    again = gone.where("g_kept").select("g_id", "g_k")
+    if again.take(1):
+        again = checked_broadcast(again)
+        left = left.union(rows.join(again, same(again), "left_semi").groupBy("doc_id", "k").agg(F.first("row").alias("row")).select("row.*"))
+    return left
