@@ -51,3 +51,32 @@ def test_forms_are_distinct():
     forms = L.search_forms('say "é"')
     assert forms[0] == ('say "é"', "raw")
     assert len({f for f, _ in forms}) == len(forms)
+
+
+@pytest.mark.parametrize(
+    ("src", "found"),
+    [
+        ('"a\nb"', [("a\nb", "dq")]),
+        ("'a' \"open", [("a", "sq")]),
+        ("`never ${x} closed", [("never ", "tmpl_frag")]),
+        ("return/'/.test('yes')", [("yes", "sq")]),
+        ("return /2;'yes'", [("yes", "sq")]),
+        ("a /* ' */ /2/'yes'", [("yes", "sq")]),
+        ("x=/[/']/g,'yes'", [("yes", "sq")]),
+        ("`a${/}/}'b'`", [("a", "tmpl_frag"), ("'b'", "tmpl_frag")]),
+        ("'\\\n'", [("\\\n", "sq")]),
+        ("", []),
+    ],
+)
+def test_scan_of_breaks_and_slashes(src, found):
+    raw = src.encode()
+    assert [(raw[s:e].decode(), kind) for s, e, kind in L.scan(raw)] == found
+
+
+def test_codec_by_the_specification():
+    assert L.decode(b"a\\r\\nb") == "a\nb"
+    assert L.decode(rb"\uD83D \u{41} \0") == r"\uD83D \u{41} \0"
+    assert L.encode("\b\f\v\0\t", "dq") == r"\x08\x0c\x0b\x00\t"
+    assert L.encode("a\n'\"`$", "tmpl_frag") == "a\n'\"\\`\\$" and L.encode("a\n'", "sq") == "a\\n\\'"
+    assert L.encode("\U0001f600é", "sq", ascii_only=True) == r"\ud83d\ude00\u00e9"
+    assert L.search_forms('say "é"\n') == [('say "é"\n', "raw"), (r'say \"é\"\n', "dq"), (r'say \"\u00e9\"\n', "dq"), (r'say "é"\n', "sq"), (r'say "\u00e9"\n', "sq"), ('say "\\u00e9"\n', "tmpl_frag")]

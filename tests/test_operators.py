@@ -67,7 +67,11 @@ def test_length_stats_of_an_even_count(spark):
 
 def test_sentinels_try_one_place():
     buffer = "A${x}B A${y}C A${z}B ${$w}Q"
-    assert catalog.resolve_sentinels(buffer, [("n", "A", "B"), ("n", "A", "B"), ("n", "A", "B"), ("m", "", "Q"), ("k", "Z", "")]) == {"n": ["${x}", "${z}"], "m": ["${$w}"]} | {"k": []}
+    assert catalog.resolve_sentinels(buffer, [("n", "A", "B"), ("n", "A", "B"), ("n", "A", "B"), ("m", "", "Q"), ("k", "Z", "")]) == {"n": ["${x}", "${z}"], "m": ["${$w}"]}
+    # a failed try moves on by one place only
+    assert catalog.resolve_sentinels("aaa${x}b", [("n", "aa", "b")] * 2) == {"n": ["${x}"]}
+    assert catalog.resolve_sentinels("${}Q ${a.b}Q${c}Q", [("n", "", "Q")] * 3) == {"n": ["${a.b}", "${c}"]}
+    assert catalog.resolve_sentinels("A${x} B", [("n", "A", "B"), ("m", "A", "")]) == {"m": ["${x}"]}
 
 
 def test_dictionary_files(spark, tmp_path):
@@ -91,10 +95,22 @@ def test_container(spark):
     data = b"\x7fELF" + body + entry + struct.pack("<8I", len(body) + 52, 0, len(body), 52, 0, 0, 0, 0) + trailer
     files = spark.createDataFrame([("f", bytearray(data))], "path string, content binary")
     r = container.modules(files, trailer).first()
-    assert data[r["off"] : r["off"] + r["len"]] == bundle and r["name"] == "/m.js"
+    assert data[r["contents_off"] : r["contents_off"] + r["contents_len"]] == bundle and r["name"] == "/m.js"
+    assert (r["entry"], r["loader"], r["module_format"], r["side"]) == (True, "js", "esm", "server")
+    both = files.union(spark.createDataFrame([("g.js", bytearray(b"x=1"))], files.schema))
+    assert {p: bytes(b) for p, b in container.bundles(both, trailer).collect()} == {"f": bundle, "g.js": b"x=1"}
+    assert [tuple(x) for x in container.segments(files, trailer).orderBy("off").select("label", "off", "len").collect()] == [("module_0_name", 0, 5), ("module_0_contents", 5, len(bundle)), ("modules_array", len(body), 52)]
+    assert json.loads(container.metadata(data, trailer))["module_count"] == 1
+    bad = bytearray(data)
+    struct.pack_into("<I", bad, 4 + len(body) + 12, 9999)
+    with pytest.raises(ValueError, match="pointer"):
+        container.read_table(bytes(bad), trailer)
+    assert container.fit((100, 400), 120, 200, 10, 16) == {"new_byte_count": 210, "header": 258, "padding": 22}
+    with pytest.raises(ValueError, match="3 bytes"):
+        container.fit((100, 400), 120, 200, 35, 16)
     assert files.select(container.file_format(F.col("content"))).first()[0] == "linux"
     with pytest.raises(ValueError):
-        container.module_rows(b"nothing", trailer)
+        container.read_table(b"nothing", trailer)
 
 
 def test_stream(spark, tmp_path):
@@ -106,13 +122,15 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).select("words").first()[0] == ["keep", "word"]
 
 
-def test_sections():
+def test_sections(spark):
     elf = bytearray(b"\x7fELF" + bytes(60) + struct.pack("<2I6Q", 1, 5, 100, 0, 0, 50, 50, 0) + struct.pack("<2I6Q", 2, 0, 0, 0, 0, 999, 0, 0))
     struct.pack_into("<Q", elf, 32, 64)
     struct.pack_into("<2H", elf, 54, 56, 2)
     assert container.sections(bytes(elf)) == [(100, 150)] and container.containing(bytes(elf), 149) == (100, 150)
     with pytest.raises(ValueError):
         container.containing(bytes(elf), 150)
+    kinds = spark.createDataFrame([(i, bytearray(h)) for i, h in enumerate([b"\xcf\xfa\xed\xfe", b"\xfe\xed\xfa\xcf", b"\xca\xfe\xba\xbe", b"MZ", b"\x7fELF", b"x"])], "i int, content binary")
+    assert [r[0] for r in kinds.orderBy("i").select(container.file_format(F.col("content"))).collect()] == ["darwin", "darwin", None, "win32", "linux", None]
     mach = b"\xcf\xfa\xed\xfe" + bytes(12) + struct.pack("<I", 2) + bytes(12) + struct.pack("<2I", 7, 8) + struct.pack("<2I16s4Q4I", 0x19, 72, b"x", 0, 0, 10, 5, 0, 0, 0, 0)
     assert container.sections(mach) == [(10, 15)]
     pe = bytearray(0x40 + 24 + 40)
@@ -136,10 +154,14 @@ def test_reports(spark, tmp_path):
     df = spark.createDataFrame([(0, 'a "b"\nc', "x"), (1, "d", "y")], "part int, text string, src string")
     reports.write_candidates(df, str(tmp_path / "c"))
     assert sorted(r["text"] for r in spark.read.option("header", True).csv(str(tmp_path / "c/csv")).collect()) == ["a 'b' c", "d"]
-    reports.write_groups(df, str(tmp_path / "g"), todo="__TODO__")
-    assert sorted(map(tuple, spark.read.json(str(tmp_path / "g")).select("src", "dst", "part").collect())) == [("x", "__TODO__", 0), ("y", "__TODO__", 1)]
+    reports.write_groups(df, str(tmp_path / "g"), 2, todo="__TODO__")
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "g")).select("src", "dst", "group").collect())) == [("x", "__TODO__", "a"), ("y", "__TODO__", "b")]
+    reports.write_groups(df, str(tmp_path / "h"), 2)
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "h")).select("text", "group").collect())) == [('a "b"\nc', 1), ("d", 2)]
+    assert reports.group_names(11)[-1] == "11" and reports.group_names(10)[-1] == "j"
     reports.write_whitelist(df.union(df), str(tmp_path / "w"))
-    assert [r["text"] for r in spark.read.json(str(tmp_path / "w")).collect()].count("d") == 1
+    lines = [json.loads(x)["text"] for f in sorted((tmp_path / "w").glob("part*")) for x in f.read_text().splitlines()]
+    assert lines == ["d", 'a "b"\nc']
 
 
 def test_resolved_sentinels(spark):

@@ -1,6 +1,7 @@
 """String literals of JavaScript source: a table function that finds them, and their decoding and encoding.
 
-The scanner is a machine with an explicit stack over bytes, one source a row; sources run in parallel.
+The scanner cuts code into tokens by one pattern and keeps an explicit stack of open interpolations, one source a row;
+sources run in parallel.
 """
 
 from __future__ import annotations
@@ -8,105 +9,95 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes and words after which a slash begins a regular expression.
+#: Bytes after which, and words right before which, a slash begins a regular expression.
 BEFORE_REGEX = set(b"=([,;:!&|?+-*/%^~{}<>\n\t ")
 WORDS_BEFORE_REGEX = {b"return", b"typeof", b"instanceof", b"in", b"of", b"void", b"delete", b"new", b"throw", b"yield", b"await", b"else", b"do", b"case", b"default"}
-_STOP = re.compile(rb"[\"'`/{}]")
-_IN = {q: re.compile(rb"(?:[^" + q + rb"\\\n]|\\[\s\S])*") for q in (b'"', b"'")}
+_TOKEN = re.compile(
+    rb"""(?P<note>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|"(?P<dq>(?:[^"\\]|\\[\s\S])*)"|'(?P<sq>(?:[^'\\]|\\[\s\S])*)'|(?P<open>["'])|(?P<tick>`)"""
+    rb"""|(?P<brace>[{}])|(?P<slash>/)|(?P<word>[A-Za-z0-9_$]+)|(?P<blank>[ \t\n\r]+)|(?P<other>[^"'`{}/A-Za-z0-9_$ \t\n\r]+)"""
+)
 _TEMPLATE = re.compile(rb"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
-_REGEX = re.compile(rb"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[gimsuyd]*")
-_WORD_BEFORE = re.compile(rb"[A-Za-z0-9_$]+$")
-
-
-def _slash_is_regex(src: bytes, i: int) -> bool:
-    k = i - 1
-    while k >= 0 and src[k] in b" \t\n":
-        k -= 1
-    if k < 0 or src[k] in BEFORE_REGEX:
-        return True
-    word = _WORD_BEFORE.search(src[max(0, k - 30) : k + 1])
-    return bool(word) and not word[0][:1].isdigit() and word[0] in WORDS_BEFORE_REGEX
+_REGEX = re.compile(rb"/(?:\\[\s\S]|\[(?:\\[\s\S]|[^\]\\\n])*\]?|[^\\/\n\[])*(/[gimsuyd]*)?")
 
 
 def scan(src: bytes) -> list[tuple[int, int, str]]:
-    """(start, end, type) of the contents of literals, by start: dq, sq, and the static fragments of templates (empty ones left out)."""
+    """(start, end, type) of the contents of literals, by start: dq, sq, and the static fragments of templates (empty ones left out).
+
+    A quoted literal may hold line breaks; one that is never closed ends the scan, and an unclosed template gives no last
+    fragment. A slash is a division after a value, so also after a word that white space parts from it.
+    """
     out: list[tuple[int, int, str]] = []
-    # for each open ${: how many braces are open in it
+    # for each open interpolation: how many braces are open in it
     stack: list[int] = []
-    i, n = 0, len(src)
+    i, last, word = 0, ord(" "), b""
 
-    def template(i: int) -> int:
+    def fragment(i: int) -> int:
         """Reads a fragment from i; returns where code goes on."""
         end = _TEMPLATE.match(src, i).end()
-        if end > i:
+        closed = src[end : end + 1] == b"`"
+        if end > i and (closed or src[end : end + 2] == b"${"):
             out.append((i, end, "tmpl_frag"))
-        if src[end : end + 2] == b"${":
+        if not closed:
             stack.append(0)
-            return end + 2
-        return end + 1
-
-    while i < n:
-        m = _STOP.search(src, i)
-        if not m:
+        return end + (1 if closed else 2)
+
+    while i < len(src):
+        m = _TOKEN.match(src, i)
+        kind, start, i = m.lastgroup, m.start(), m.end()
+        touching, word = word, b""
+        if kind in ("dq", "sq"):
+            out.append((*m.span(kind), kind))
+            last = src[start]
+        elif kind == "open":
             break
-        i, c = m.start(), m[0]
-        if c in (b'"', b"'"):
-            end = _IN[c].match(src, i + 1).end()
-            if src[end : end + 1] == c:
-                out.append((i + 1, end, "dq" if c == b'"' else "sq"))
-            i = end + 1
-        elif c == b"`":
-            i = template(i + 1)
-        elif c == b"{":
-            if stack:
-                stack[-1] += 1
-            i += 1
-        elif c == b"}":
-            if stack and stack[-1] == 0:
+        elif kind == "tick" or kind == "brace" and m[0] == b"}" and stack and not stack[-1]:
+            if kind == "brace":
                 stack.pop()
-                i = template(i + 1)
+            i = fragment(i)
+            last = ord("`") if src[i - 1 : i] == b"`" else ord(" ")
+        elif kind == "brace":
+            if stack:
+                stack[-1] += 1 if m[0] == b"{" else -1
+            last = m[0][0]
+        elif kind == "slash":
+            if last in BEFORE_REGEX or not touching[:1].isdigit() and touching in WORDS_BEFORE_REGEX:
+                r = _REGEX.match(src, start)
+                i = r.end()
+                last = ord("/") if r[1] else last
             else:
-                if stack:
-                    stack[-1] -= 1
-                i += 1
-        elif src[i : i + 2] == b"//":
-            i = src.find(b"\n", i)
-            i = n if i < 0 else i
-        elif src[i : i + 2] == b"/*":
-            i = src.find(b"*/", i + 2)
-            i = n if i < 0 else i + 2
-        else:
-            r = _REGEX.match(src, i) if _slash_is_regex(src, i) else None
-            i = r.end() if r else i + 1
+                last = ord("/")
+        elif kind in ("word", "other"):
+            last = m[0][-1]
+            word = m[0] if kind == "word" else b""
     return sorted(out)
 
 
-_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[\s\S])")
+_ESCAPE = re.compile(r"\\(u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|[\s\S])")
 _SIMPLE = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", '"': '"', "'": "'", "`": "`", "$": "$", "\\": "\\", "/": "/"}
-_PAIR = re.compile("[\ud800-\udbff][\udc00-\udfff]")
-_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _unescaped(m: re.Match) -> str:
+    e = m[1]
+    if len(e) == 1:
+        return _SIMPLE.get(e, m[0])
+    units = [int(x, 16) for x in re.findall("[0-9a-fA-F]{4}", e)] if e[0] == "u" else [int(e[1:], 16)]
+    if len(units) == 2:
+        return b"".join(x.to_bytes(2) for x in units).decode("utf-16-be")
+    return m[0] if e[0] == "u" and 0xD800 <= units[0] < 0xE000 else chr(units[0])
 
 
 def decode(raw: bytes) -> str | None:
-    """A literal's text; None if it is not UTF-8. Unknown escapes keep their backslash; a lone surrogate stays as written."""
+    """A literal's text; None if it is not UTF-8. Unknown escapes and lone surrogates stay as written; CRLF, escaped too, becomes LF."""
     try:
-        text = raw.decode("utf-8").replace("\r\n", "\n")
+        return _ESCAPE.sub(_unescaped, raw.decode("utf-8")).replace("\r\n", "\n")
     except UnicodeDecodeError:
         return None
 
-    def one(m: re.Match) -> str:
-        e = m[1]
-        if len(e) > 1:
-            return chr(int(e[1:], 16))
-        return _SIMPLE.get(e, "\\" + e)
-
-    text = _PAIR.sub(lambda m: m[0].encode("utf-16", "surrogatepass").decode("utf-16"), _ESCAPE.sub(one, text))
-    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
-
 
 def encode(text: str, kind: str, ascii_only: bool = False) -> str:
     """text as the contents of a literal of a kind: dq, sq, tmpl_frag, or raw (unchanged)."""
@@ -114,24 +105,14 @@ def encode(text: str, kind: str, ascii_only: bool = False) -> str:
         return text
     if kind not in ("dq", "sq", "tmpl_frag"):
         raise ValueError(f"no such literal: {kind}")
-    special = {"dq": '"', "sq": "'", "tmpl_frag": "`$"}[kind]
-    names = {"\n": "\\n", "\t": "\\t", "\r": "\\r", "\b": "\\b", "\f": "\\f", "\v": "\\v"}
-    out = []
-    for c in text:
-        if c == "\\" or c in special:
-            out.append("\\" + c)
-        elif c == "\n" and kind == "tmpl_frag":
-            out.append(c)
-        elif c in names:
-            out.append(names[c])
-        elif ord(c) < 32:
-            out.append(f"\\x{ord(c):02x}")
-        elif ascii_only and ord(c) > 127:
-            units = c.encode("utf-16-be")
-            out += [f"\\u{units[j]:02x}{units[j + 1]:02x}" for j in range(0, len(units), 2)]
-        else:
-            out.append(c)
-    return "".join(out)
+    table = {ord("\\"): "\\\\", **{i: f"\\x{i:02x}" for i in range(32)}, 9: "\\t", 10: "\\n", 13: "\\r"}
+    table |= {ord(c): "\\" + c for c in {"dq": '"', "sq": "'", "tmpl_frag": "`$"}[kind]}
+    if kind == "tmpl_frag":
+        del table[10]
+    out = text.translate(table)
+    if ascii_only:
+        out = re.sub(r"[^\x00-\x7f]", lambda m: "".join(f"\\u{u:04x}" for u in memoryview(m[0].encode("utf-16-le")).cast("H")), out)
+    return out
 
 
 def search_forms(text: str) -> list[tuple[str, str]]:
@@ -143,6 +124,16 @@ def search_forms(text: str) -> list[tuple[str, str]]:
     return list(forms.items())
 
 
+def forms(text: Column) -> Column:
+    """search_forms of a column, as an array of (form, lit_type)."""
+
+    @F.pandas_udf("array<struct<form:string,lit_type:string>>")
+    def f(t: pd.Series) -> pd.Series:
+        return t.map(lambda s: None if s is None else [{"form": a, "lit_type": b} for a, b in search_forms(s)])
+
+    return f(text)
+
+
 def literals(df: DataFrame, key: str, source: str) -> DataFrame:
     """key, start_off, end_off, lit_type, text, gap for each literal of each source (a string or binary column).
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add
+from operator import add, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,38 +27,26 @@ def score_rules(text: Column, sdk: list[str] = (), errors: list[str] = (), brows
     n = F.char_length(text)
     words = F.regexp_count(F.lower(text), F.lit("[a-z']{2,}"))
     stops = words_in(text, R.STOP_WORDS)
-    heading = text.rlike(r"(?m)^#{1,6} \S")
-    imperative = text.rlike(r"\b(?:IMPORTANT|CRITICAL|NEVER|ALWAYS|MUST|NOTE):\s")
-    bare = strip(text)
-    marks = F.regexp_count(text, F.lit(r"[.,;:][ \n)]"))
+    heading, imperative, bare = text.rlike(R.HEADING), text.rlike(R.IMPERATIVE), strip(text)
+    marks = F.regexp_count(text, F.lit(R.SENTENCE_MARK))
     minified = present(text, R.MINIFIED_TOKENS)
-    out = [
-        ("markdown_heading", heading, 4),
-        ("starts_with_You", text.rlike(r"^You (?:are|should|can|have|must|may)\b"), 3),
-        ("imperative_marker", imperative, 3),
-        ("has_placeholder", text.rlike(r"\$\{[\w.]+\}"), 2),
-        ("stop_words", stops >= 3, 2),
-        ("xml_tags", text.rlike(r"<(?:example|commentary|when_to_save|how_to_use|types?|user|assistant)\b"), 2),
-        ("long", n >= 200, 2),
-        ("medium", (n >= 80) & (n < 200), 1),
-        ("has_han", text.rlike(R.HAN), 1),
-        ("desc_verb_lead", (n >= 60) & (stops >= 3) & F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1).isin(R.DESCRIPTION_VERBS) & ~heading, 3),
-        ("prose_structure", (n >= 160) & (stops >= 8) & (marks >= 6) & (marks >= 0.045 * F.greatest(words, F.lit(1))), 2),
-        ("url", bare.rlike(r"^https?://\S+$"), -5),
-        ("path", bare.rlike(r"^/?[A-Za-z0-9_\-./]+\.(?:ts|tsx|js|jsx|py|md|json|sh|toml)$"), -5),
-        ("identifier", bare.rlike(r"^[A-Za-z_][A-Za-z0-9_]*$"), -5),
-        ("no_words", words == 0, -3),
-        ("js_code", present(text, R.CODE_MARKERS) >= 2, -10),
-        ("js_punct_lead", bare.rlike(r"^[}\)\],;`\\&|]{1,3}\s*(?:if|for|let|const|var|return|await|throw|else|[a-zA-Z_$]+\()"), -5),
-        ("minified_js", (minified >= 3) | (F.substring(bare, 1, 1).isin(list(R.MINIFIED_LEAD)) & (minified >= 1) & ~imperative), -8),
-    ]
-    if sdk:
-        out.append(("sdk_string", present(text, list(sdk)) >= 1, -5))
-    if errors:
-        out.append(("sdk_error", present(text, list(errors)) >= 1, -3))
+    # the rule data holds weights and patterns; here is what they mean
+    conditions = {
+        "markdown_heading": heading, "starts_with_You": text.rlike(R.ADDRESS), "imperative_marker": imperative, "has_placeholder": text.rlike(R.VARIABLE),
+        "stop_words": stops >= 3, "xml_tags": text.rlike(R.TAGS), "long": n >= 200, "medium": (n >= 80) & (n < 200), "has_han": text.rlike(R.HAN),
+        "desc_verb_lead": (n >= 60) & (stops >= 3) & F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1).isin(R.DESCRIPTION_VERBS) & ~heading,
+        "prose_structure": (n >= 160) & (stops >= 8) & (marks >= 6) & (marks >= 0.045 * F.greatest(words, F.lit(1))),
+        "url": bare.rlike(R.URL), "path": bare.rlike(R.PATH), "identifier": bare.rlike(R.IDENTIFIER), "no_words": words == 0,
+        "js_code": present(text, R.CODE_MARKERS) >= 2, "js_punct_lead": bare.rlike(R.CODE_LEAD),
+        "minified_js": (minified >= 3) | (F.substring(bare, 1, 1).isin(list(R.MINIFIED_LEAD)) & (minified >= 1) & ~imperative),
+        "config_desc": reduce(or_, [F.startswith(bare, F.lit(p)) for p in R.CONFIG_PREFIXES]),
+    }
+    for tag, phrases in (("sdk_string", sdk), ("sdk_error", errors), ("browser_tool", browser)):
+        if phrases:
+            conditions[tag] = present(text, list(phrases)) >= 1
     if browser:
-        out.append(("browser_tool", (present(text, list(browser)) >= 1) & ~text.rlike("[\u4e00-\u9fff]"), -3))
-    return out
+        conditions["browser_tool"] &= ~text.rlike(R.IDEOGRAPH)
+    return [(tag, conditions[tag], weight) for tag, weight in R.WEIGHTS.items() if tag in conditions]
 
 
 def score_text(text: Column, **lists) -> Column:
@@ -120,8 +108,8 @@ def reject_reason(text: Column, least: int = 40) -> Column:
 
 
 def short_label(text: Column, patterns: list[tuple[str, str]] = ()) -> Column:
-    """The first of the user's (pattern, name) pairs found in the first sentence of 200 characters, else its first four words."""
-    head = F.substring_index(F.substring(text, 1, 200), ".", 1)
+    """The first of the user's (pattern, name) pairs found in the first sentence of 200 bytes, else its first four words."""
+    head = F.substring_index(F.make_valid_utf8(F.substring(text.cast("binary"), 1, 200).cast("string")), ".", 1)
     words = F.lower(F.array_join(F.slice(F.regexp_extract_all(head, F.lit("[a-zA-Z]+"), F.lit(0)), 1, 4), "_"))
     out = F.when(F.lit(False), F.lit(""))
     for pattern, name in patterns:

@@ -69,7 +69,13 @@ def whole_word(text: Column, word: str) -> Column:
 
 def version_key(version: Column) -> Column:
     """Parts of a version as numbers; what is no number is 0."""
-    return F.transform(F.split(version, r"\."), lambda x: F.coalesce(F.try_to_number(x, F.lit("999999999")).cast("int"), F.lit(0)))
+    return F.transform(F.split(version, r"\."), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+
+
+def version_parts(version: Column) -> Column:
+    """major, minor and patch of a version as numbers; other forms are an error."""
+    bad = F.raise_error(F.concat(F.lit("no version: "), version)).cast("array<int>")
+    return F.when(version.rlike(r"^\d+\.\d+\.\d+$"), F.transform(F.split(version, r"\."), lambda x: x.cast("int"))).otherwise(bad)
 
 
 def platform_key(package: Column, prefix: str) -> Column:

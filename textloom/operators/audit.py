@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import placeholders, placeholders_safe
+from ..functions.text import placeholders, placeholders_safe, preview
+from . import matching
 
 
 def risks(entries: DataFrame, hits: DataFrame) -> DataFrame:
@@ -26,3 +27,45 @@ def risks(entries: DataFrame, hits: DataFrame) -> DataFrame:
         F.count_if(plain & (F.col("within") > 0) & (F.col("outside") > 0)).alias("missed"),
         F.lit(0).cast("long").alias("risk_c"), F.count_if("bad").alias("risk_e"),
     )
+
+
+def by_source(sources: DataFrame, lits: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row an entry, one row of totals): what raw occurrences of sources' keys would hit, in bytes, by the spans of literals.
+
+    Entry: key_id, src_preview, src_len (bytes), allow_reorder, occurrences, in_literal, cross_literal_safe, code_region,
+    placeholder_violation, risk_a, true_risk_b, scanner_fn (hits in code of a key that also stands in literals). Totals: as
+    risks(), with total_hits, risk_d (pairs of hits that overlap in part, where of two with one start the shorter comes first)
+    and high_risk. An entry with other placeholders than its translation has no hits but risk_e.
+    """
+    bytes_ = matching.as_bytes
+    keys = entries.select("key_id", bytes_(F.col("src")).alias("key"))
+    found = matching.occurrences(sources.toDF("id", "source").select("id", bytes_(F.col("source"))), keys)
+    has = F.size(placeholders(F.col("src"))) > 0
+    marked = entries.withColumns({"marked": has, "bad": has & ~placeholders_safe(F.col("src"), F.col("dst"), F.col("allow_reorder"))})
+    hits = matching.in_spans(found, lits.select("id", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).join(marked.select("key_id", "marked", "bad"), "key_id")
+    n = lambda c: F.count_if(~F.col("bad") & c)
+    per = hits.groupBy("key_id").agg(F.count("*").alias("occurrences"), n(F.col("inside")).alias("in_literal"), n(~F.col("inside") & F.col("marked")).alias("cross_literal_safe"), n(~F.col("inside") & ~F.col("marked")).alias("code_region"))
+    rows = marked.join(per, "key_id", "left").na.fill(0, ["occurrences", "in_literal", "cross_literal_safe", "code_region"]).select(
+        "key_id", preview(F.col("src")).alias("src_preview"), F.octet_length("src").alias("src_len"), "allow_reorder", "occurrences", "in_literal", "cross_literal_safe", "code_region",
+        F.col("bad").alias("placeholder_violation"), (F.col("occurrences") >= 2).alias("risk_a"),
+        ((F.col("code_region") > 0) & (F.col("in_literal") == 0)).alias("true_risk_b"), ((F.col("code_region") > 0) & (F.col("in_literal") > 0)).alias("scanner_fn"),
+    )
+    kept = hits.where(~F.col("bad") & (F.col("inside") | F.col("marked"))).select("id", "key_id", "pos", "len")
+    risk_d = conflicts(kept).agg(F.count("*").alias("risk_d"))
+    totals = rows.agg(
+        F.count("*").alias("total_src"), F.coalesce(F.sum(F.col("in_literal") + F.col("cross_literal_safe")), F.lit(0)).cast("long").alias("total_hits"), F.count_if("risk_a").alias("risk_a"),
+        F.coalesce(F.sum(F.when(F.col("true_risk_b"), F.col("code_region"))), F.lit(0)).cast("long").alias("risk_b"), F.lit(0).cast("long").alias("risk_c"), F.count_if("placeholder_violation").alias("risk_e"),
+    )
+    totals = totals.crossJoin(risk_d)  # one row each
+    return rows, totals.withColumn("high_risk", F.col("risk_b") + F.col("risk_c") + F.col("risk_d") + F.col("risk_e"))
+
+
+def conflicts(hits: DataFrame, by: str = "id", block: int = 4096) -> DataFrame:
+    """Pairs of hits of a source of which one begins inside the other and ends after it (of equal starts the shorter is the other).
+
+    A join on blocks of places: a hit is sent to the block in which it begins and, as the earlier one of a pair, to all it covers.
+    """
+    a = hits.select(by, F.col("key_id").alias("key1"), F.col("pos").alias("pos1"), F.col("len").alias("len1"), F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor((F.col("pos") + F.col("len")) / block))).alias("block"))
+    b = hits.select(by, F.col("key_id").alias("key2"), F.col("pos").alias("pos2"), F.col("len").alias("len2"), F.floor(F.col("pos") / block).alias("block"))
+    end1, end2 = F.col("pos1") + F.col("len1"), F.col("pos2") + F.col("len2")
+    return a.join(b, [by, "block"]).where((F.col("pos1") <= F.col("pos2")) & (F.col("pos2") < end1) & (end2 > end1)).drop("block")

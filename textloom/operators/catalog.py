@@ -10,55 +10,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import rules as R
+from ..functions.text import strip
+
 
 def duplicate_sources(entries: DataFrame, src: str = "src") -> DataFrame:
     """src, n for sources with several entries."""
     return entries.groupBy(src).agg(F.count("*").alias("n")).where("n > 1")
 
 
+_VARIABLE = r"\$\{[A-Za-z0-9_.$]+\}"
+
+
 def resolve_sentinels(buffer: str, declared: list[tuple[str, str, str]]) -> dict[str, list[str]]:
-    """Variables of each sentinel: declarations (name, before, after) are tried in order, each at one place after the name's last.
+    """Variables of each sentinel; declared: (name, before, after), a name as often as it has instances. Names without any are absent.
 
-    With a before-anchor the variable follows its next place; without one it precedes the next after-anchor. A failed try
-    moves the cursor and yields nothing.
+    A declaration looks at one place only: the next occurrence of its anchor (before, or after where before is empty)
+    at or behind its name's cursor. If a variable and the other anchor stand there, that is the instance and the cursor
+    goes behind it; else the cursor goes one place on, and the declaration yields nothing.
     """
-    variable = re.compile(r"\$\{([\w.$]+)\}")
-    out, cursor = {}, {}
+    out: dict[str, list[str]] = {}
+    at: dict[str, int] = {}
+    whole = {(b, a): re.compile(f"({_VARIABLE}){re.escape(a)}" if b else f"({_VARIABLE})$", re.ASCII) for _, b, a in declared}
     for name, before, after in declared:
-        found, at = out.setdefault(name, []), cursor.get(name, 0)
-        if before:
-            i = buffer.find(before, at)
-            if i < 0:
-                continue
-            cursor[name] = i + len(before)
-            m = variable.match(buffer, i + len(before))
-            if m and buffer.startswith(after, m.end()):
-                found.append(m[0])
-                cursor[name] = m.end()
-        else:
-            i = buffer.find(after, at)
-            if i < 0:
-                continue
-            cursor[name] = i + len(after)
-            m = re.search(r"\$\{([\w.$]+)\}$", buffer[:i])
-            if m:
-                found.append(m[0])
+        place = buffer.find(before or after, at.get(name, 0))
+        if place < 0:
+            continue
+        # with a before-anchor the rest is read on from its end; without one the variable ends where the anchor begins
+        found = whole[before, after].match(buffer, place + len(before)) if before else whole[before, after].search(buffer[max(0, buffer.rfind("${", 0, place)) : place])
+        if found:
+            out.setdefault(name, []).append(found[1])
+        at[name] = place + 1 if not found else found.end() if before else place + len(after)
     return out
 
 
 def expand_sentinels(entries: DataFrame, variables: DataFrame, strict: bool = True) -> DataFrame:
-    """entries (entry, src, dst) once for each instance of their sentinel; variables: (name, vars).
+    """entries (entry, src, dst and more) once for each instance of the sentinels in src; variables: (name, vars).
 
-    An entry without a sentinel stays as it is; one whose sentinel has no variable is dropped. An entry has one sentinel
-    name. Equal pairs of an entry appear once.
+    An entry without a declared sentinel stays as it is; one with a sentinel that has no instance is left out. The k-th
+    instances of several sentinels belong together; if their numbers differ that is an error with strict, else the
+    smallest counts. Equal pairs of an entry appear once.
     """
-    name = F.regexp_extract("src", r"\$\{(__[A-Z0-9_]+__)\}", 1)
-    rows = entries.withColumn("name", name)
-    plain = rows.where("name = ''").select("entry", "src", "dst")
-    found = rows.where("name <> ''").join(variables, "name").select("entry", "src", "dst", "name", F.explode("vars").alias("var"))
-    mark = F.concat(F.lit("${"), F.col("name"), F.lit("}"))
-    made = found.select("entry", F.replace("src", mark, "var").alias("src"), F.replace("dst", mark, "var").alias("dst"))
-    return plain.unionByName(made.distinct())
+    known = variables.agg(F.map_from_entries(F.collect_list(F.struct("name", "vars"))).alias("_known"))  # a short list: one row
+    names = F.array_intersect(F.array_distinct(F.regexp_extract_all("src", F.lit(r"\$\{([\w.$]+)\}"), F.lit(1))), F.map_keys("_known"))
+    rows = entries.crossJoin(F.broadcast(known)).withColumn("_names", names)
+    sizes = F.transform("_names", lambda n: F.size(F.element_at("_known", n)))
+    least = F.array_min(sizes)
+    if strict:
+        differ = F.concat(F.lit("numbers of instances differ: "), F.to_json("_names"))
+        least = F.when((least > 0) & (least != F.array_max(sizes)), F.raise_error(differ).cast("int")).otherwise(least)
+    some = rows.where((F.size("_names") > 0)).withColumn("_n", least).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    fill = lambda c: F.aggregate("_names", F.col(c), lambda t, n: F.replace(t, F.concat(F.lit("${"), n, F.lit("}")), F.element_at(F.element_at("_known", n), F.col("_k"))))
+    made = some.withColumn("_src", fill("src")).withColumn("dst", fill("dst")).withColumn("src", F.col("_src")).select(*entries.columns).dropDuplicates(["entry", "src", "dst"])
+    return rows.where(F.size("_names") == 0).select(*entries.columns).unionByName(made)
+
+
+def first_instances(text: Column, variables: dict[str, list[str]]) -> Column:
+    """text with each sentinel replaced by its first variable."""
+    for name, found in variables.items():
+        if found:
+            text = F.replace(text, F.lit("${" + name + "}"), F.lit(found[0]))
+    return text
+
+
+def without_sentinels(items: DataFrame, src: str = "src") -> DataFrame:
+    """items whose source has no sentinel."""
+    return items.where(~F.col(src).rlike(R.SENTINEL))
+
+
+def prompts(texts: DataFrame, beginning: str = "You are ", least: int = 100) -> DataFrame:
+    """Texts of least bytes or more that begin so."""
+    return texts.where(F.startswith("text", F.lit(beginning)) & (F.octet_length("text") >= least))
+
+
+def work_items(reports: DataFrame) -> DataFrame:
+    """What is to be translated of reports of several versions: text (stripped) once, with the attributes first seen and the versions in input order.
+
+    reports: ord (input order), version, text, class, score, len, evidence, offset, translated, whitelisted. Only prompts count
+    that are neither translated nor whitelisted nor blank.
+    """
+    left = reports.where((F.col("class") == "prompt") & ~F.col("translated") & ~F.col("whitelisted")).withColumn("src", strip(F.col("text"))).where("src <> ''")
+    seen = F.min_by(F.struct("len", "score", "class", "evidence", F.col("offset").alias("offset_example")), "ord")
+    versions = F.transform(F.array_sort(F.collect_list(F.struct("ord", "version"))), lambda x: x["version"])
+    return left.groupBy("src").agg(seen.alias("seen"), versions.alias("from_versions")).select("src", "seen.*", "from_versions")
+
+
+def work_groups(items: DataFrame, n: int) -> DataFrame:
+    """items with part: dealt in turn to n parts in the order of score, then length, the larger first, then text."""
+    lead = -(F.col("score") * F.lit(float(1 << 32)) + F.col("len"))
+    return round_robin(items, n, lead, "src")
 
 
 def merge_versions(items: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules as R
+from ..functions import scoring
 
 
 def status(exact: Column, partial: Column, text: Column, whitelisted: Column) -> Column:
@@ -41,5 +42,72 @@ def summary(df: DataFrame) -> DataFrame:
     return out.select("*", share("translated").alias("translated_pct"), share("untranslated").alias("untranslated_pct"))
 
 
+def candidates(lits: DataFrame, covered: DataFrame, white: Column, min_score: int = 3, **lists) -> DataFrame:
+    """Literals that may be prose, with score, class and whether they are covered; skipped ones have class skip.
+
+    lits: id, start_off, end_off, lit_type, text, group_size, mixed (operators.groups); covered: id, start_off, exact,
+    partial for literals that a dictionary covers; white: whether text is whitelisted. A text that is no UTF-8 has class null.
+    """
+    score = scoring.score_text(F.col("text"), **lists) + F.when(F.col("group_size") >= 3, 1).otherwise(0)
+    tags = F.concat(scoring.evidence(F.col("text"), **lists), F.when(F.col("group_size") >= 3, F.array(F.lit("array_group"))).otherwise(F.array().cast("array<string>")))
+    both = lits.join(covered, ["id", "start_off"], "left").withColumns({"score": score, "evidence": F.when(F.col("mixed"), F.array_append(tags, F.lit("mixed_template"))).otherwise(tags)})
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return both.select(
+        "id", F.col("start_off").alias("offset"), F.col("end_off").alias("end"), (F.col("end_off") - F.col("start_off")).alias("len"), F.col("lit_type").alias("type"), "group_size", "mixed",
+        F.when(F.col("text").isNotNull(), scoring.classify(F.col("score"), min_score=min_score)).alias("class"), "score", "evidence", "text",
+        status(yes("exact"), yes("partial"), F.col("text"), white).alias("status"),
+    ).withColumns({"translated": F.col("status").isin("exact", "partial", "han"), "whitelisted": F.col("status") == "whitelisted"})
+
+
+def counters(found: DataFrame) -> DataFrame:
+    """One row of ten counts over candidates()."""
+    is_ = lambda c: F.col("class") == c
+    some, left = F.col("class").isin("prompt", "weak"), F.col("status") == "untranslated"
+    return found.agg(
+        F.count("*").alias("total_literals"), F.count_if(F.col("text").isNotNull()).alias("decoded_ok"), F.count_if(is_("prompt")).alias("scored_prompt"),
+        F.count_if(is_("weak")).alias("scored_weak"), F.count_if(is_("skip")).alias("scored_skip"), F.count_if(some & F.col("translated")).alias("translated"),
+        F.count_if(some & F.col("whitelisted")).alias("whitelisted"), F.count_if(is_("prompt") & left).alias("untranslated_prompt"),
+        F.count_if(is_("weak") & left).alias("untranslated_weak"), F.count_if(some & left & F.col("mixed")).alias("mixed_lang_template_residual"),
+    )
+
+
+def untranslated(found: DataFrame, class_: str | None = None, min_score: int | None = None) -> DataFrame:
+    """Candidates that nothing covers, of a class or from a score."""
+    rows = found.where(F.col("class").isin("prompt", "weak") & ~F.col("translated") & ~F.col("whitelisted"))
+    rows = rows if class_ is None else rows.where(F.col("class") == class_)
+    return rows if min_score is None else rows.where(F.col("score") >= min_score)
+
+
+def sample(df: DataFrame, *order: Column, k: int) -> DataFrame:
+    """The first k rows in an order: a bounded sample for a report (40 mixed fragments, the 5 shortest stale texts, 10 conflicts, ...)."""
+    return df.orderBy(*order).limit(k)
+
+
+def residual_report(found: DataFrame, show: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(a row a label: its distinct residual words, sorted, and the first show of them; one row of totals). found: label, words (array)."""
+    rows = found.where(F.size("words") > 0)
+    by = rows.groupBy("label").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))  # labels name one text each
+    each = found.select("label", F.explode_outer("words").alias("word"))
+    totals = each.agg(F.countDistinct("label").alias("segments"), F.countDistinct(F.when(F.col("word").isNotNull(), F.col("label"))).alias("segments_with_residual"), F.count("word").alias("words"), F.countDistinct("word").alias("distinct_words"))
+    return by.select("label", "words", F.slice("words", 1, show).alias("shown")), totals
+
+
+def legacy_coverage(texts: DataFrame, min_len: int = 30, min_score: int = 5) -> DataFrame:
+    """One row: han_count and han_bytes (texts with Han script), residual (long and prose-like without), skipped_short, skipped_score. texts: text."""
+    n, han = F.octet_length("text"), F.col("text").rlike(R.HAN_LEGACY)
+    enough = scoring.legacy_score(F.col("text")) >= min_score
+    long_ = n >= min_len
+    return texts.where(F.col("text").isNotNull()).agg(
+        F.count_if(long_ & han).alias("han_count"), F.coalesce(F.sum(F.when(long_ & han, n)), F.lit(0)).cast("long").alias("han_bytes"),
+        F.count_if(long_ & ~han & enough).alias("residual"), F.count_if(~long_).alias("skipped_short"), F.count_if(long_ & ~han & ~enough).alias("skipped_score"),
+    )
+
+
+def type_counts(lits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """id, lit_type, n, bytes and share of the source (percent) of literals; sizes: id, size in bytes."""
+    by = lits.groupBy("id", "lit_type").agg(F.count("*").alias("n"), F.sum(F.col("end_off") - F.col("start_off")).alias("bytes"))
+    return by.join(sizes, "id").select("id", "lit_type", "n", "bytes", F.round(100 * F.col("bytes") / F.col("size"), 4).alias("share"))
+
+
 def top(df: DataFrame, *order: Column, k: int = 50) -> DataFrame:
     return df.orderBy(*order).limit(k)

@@ -33,4 +33,5 @@ def violations(pairs: DataFrame, keep: list[str], translate: list[str], phrases:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    return found.groupBy("kind", "word").agg(F.count("*").alias("n"))
+    """kind, word, n, the most frequent first."""
+    return found.groupBy("kind", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind", "word")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import literals as L
+from ..functions.text import placeholders, placeholders_safe
+
 #: Keys in one automaton; a larger dictionary is searched in several, one after the other, so what is broadcast stays bounded.
 KEYS_AT_ONCE = 50_000
 
@@ -106,6 +109,58 @@ def overlaps(hits: DataFrame, by: str = "id", audit_compat: bool = False) -> Dat
     return hits.select("*", F.coalesce(end <= reach, F.lit(False)).alias("nested"), F.coalesce((F.col("pos") < reach) & (end > reach), F.lit(False)).alias("conflict"))
 
 
+def as_bytes(source: Column) -> Column:
+    """A text whose characters are the source's UTF-8 bytes, so that places in it are places in bytes."""
+    return F.decode(source.cast("binary"), "ISO-8859-1")
+
+
+def form_occurrences(sources: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, key_id, pos, len, lit_type of every occurrence, in bytes, of every form under which a key may stand in a source: raw, or escaped as in a literal.
+
+    sources: (id, source); keys: (key_id, key). A dictionary is small beside the sources; its forms go through the driver.
+    """
+    found = keys.toDF("key_id", "key").select("key_id", F.explode(L.forms(F.col("key"))).alias("f")).select("key_id", "f.form", "f.lit_type")
+    rows = [(i, r["key_id"], r["form"], r["lit_type"]) for i, r in enumerate(found.toLocalIterator())]
+    kind = keys.schema.fields[0].dataType.simpleString()
+    table = sources.sparkSession.createDataFrame(rows, f"form_id long, key_id {kind}, form string, lit_type string")
+    hits = occurrences(sources.toDF("id", "source").select("id", as_bytes(F.col("source"))), table.select("form_id", as_bytes(F.col("form")).alias("form")))
+    return hits.withColumnRenamed("key_id", "form_id").join(table.drop("form"), "form_id").select("id", "key_id", "pos", "len", "lit_type")
+
+
+def replacements(sources: DataFrame, lits: DataFrame, entries: DataFrame) -> DataFrame:
+    """id, key_id, pos, len, lit_type, kind of everything that entries would replace in sources, in bytes.
+
+    kind: whole (a literal whose text is the key), inside (an occurrence of a form of the key within a literal), crossing
+    (one across literals whose placeholders are safe) or code (any other, which is not replaced). Occurrences are looked
+    for only where no literal of the source is the key. Entries with placeholders that differ from their translation's
+    replace nothing. sources: (id, source); lits: id, start_off, end_off, lit_type, text; entries: key_id, src, dst, allow_reorder.
+    """
+    has = F.size(placeholders(F.col("src"))) > 0
+    safe = entries.where(~has | placeholders_safe(F.col("src"), F.col("dst"), F.col("allow_reorder"))).select("key_id", "src", has.alias("marked"))
+    whole = lits.join(safe.select("key_id", F.col("src").alias("text")), "text").select("id", "key_id", F.col("start_off").alias("pos"), (F.col("end_off") - F.col("start_off")).alias("len"), "lit_type", F.lit("whole").alias("kind"))
+    rest = form_occurrences(sources, safe.select("key_id", "src")).join(whole.select("id", "key_id").distinct(), ["id", "key_id"], "left_anti")
+    placed = in_spans(rest, lits.select("id", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).join(safe.select("key_id", "marked"), "key_id")
+    kind = F.when(F.col("inside"), "inside").when(F.col("marked"), "crossing").otherwise("code")
+    return whole.unionByName(placed.select("id", "key_id", "pos", "len", "lit_type", kind.alias("kind")))
+
+
+def in_order_of_application(hits: DataFrame, by: str = "id") -> DataFrame:
+    """Hits that are replaced (those nested in others left out), the last place of a source first, so that places stay valid."""
+    return overlaps(hits, by).where(~F.col("nested")).drop("nested", "conflict").orderBy(by, F.desc("pos"))
+
+
+def stale_texts(white: DataFrame, lits: DataFrame, sources: DataFrame) -> DataFrame:
+    """White-list texts (text) that no literal equals and that no source holds, raw or escaped."""
+    left = white.join(lits.select("text").distinct(), "text", "left_anti")
+    keys = left.select(F.col("text").alias("key_id"), F.col("text").alias("key"))
+    return left.join(form_occurrences(sources, keys).select(F.col("key_id").alias("text")).distinct(), "text", "left_anti")
+
+
+def stale_everywhere(keys: DataFrame, white: DataFrame, matched: DataFrame) -> DataFrame:
+    """text of keys and white-list entries (both text) that were matched (text) nowhere."""
+    return keys.select("text").union(white.select("text")).distinct().join(matched.select("text").distinct(), "text", "left_anti")
+
+
 def stale(keys: DataFrame, matched: DataFrame, key: str = "key") -> DataFrame:
     """Keys (distinct) that were never matched."""
     return keys.select(key).distinct().join(matched.select(key).distinct(), key, "left_anti")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.text import version_key
+
 
 def pick(versions: DataFrame, n: int = 5) -> DataFrame:
     """version of the latest patch of each (major, minor), and of the last n patches of the newest minor."""
@@ -27,8 +29,33 @@ def gate(found: DataFrame, config: DataFrame) -> DataFrame:
     return both.select("version", "platform", "sha", F.when(F.col("expected").isNull(), "unlisted").when(F.col("sha") == F.col("expected"), "ok").otherwise("mismatch").alias("status"))
 
 
+def find_matches(config: DataFrame, shas: DataFrame) -> DataFrame:
+    """sha, place, version, platform: all that have each sha, numbered from 1 in the order of versions by number, then platforms; one row without them where none has."""
+    order = W.partitionBy("sha").orderBy(version_key(F.col("version")), "platform", "version")
+    found = config.select(F.col("expected").alias("sha"), "version", "platform").withColumn("place", F.row_number().over(order))
+    return shas.join(found, "sha", "left").select("sha", "place", "version", "platform")
+
+
 def find_match(config: DataFrame, shas: DataFrame) -> DataFrame:
     """sha with the first (version by number, platform) that has it; null where none has."""
-    order = F.struct(F.transform(F.split("version", r"\."), lambda x: x.cast("int")).alias("v"), "platform", "version")
-    first = config.groupBy(F.col("expected").alias("sha")).agg(F.min(order).alias("m"))
-    return shas.join(first, "sha", "left").select("sha", F.col("m.version").alias("version"), F.col("m.platform").alias("platform"))
+    return find_matches(config, shas).where("place IS NULL OR place = 1").drop("place")
+
+
+def require_match(config: DataFrame, shas: DataFrame, force: bool = False) -> DataFrame:
+    """find_match; a sha that nothing has is an error unless force is set."""
+    found = find_match(config, shas)
+    if force:
+        return found
+    known = F.when(F.col("version").isNull(), F.raise_error(F.concat(F.lit("not supported: "), F.col("sha"))).cast("string")).otherwise(F.col("version"))
+    return found.withColumn("version", known)
+
+
+def supported(config: DataFrame) -> DataFrame:
+    """Distinct versions in their order by number."""
+    return config.select("version").distinct().orderBy(version_key(F.col("version")), "version")
+
+
+def chosen(text: str | None, run: list[str]) -> list[str]:
+    """The versions that a comma-separated text names, sorted; those of the run if it names none."""
+    named = {v.strip() for v in (text or "").split(",")} - {""}
+    return sorted(named or set(run))

@@ -1,3 +1,3 @@
 """Queries with their SQL counterparts."""
 
-from . import queries, tools  # noqa: F401  (tools adds to the queries)
+from . import queries, reports, tools  # noqa: F401  (reports and tools add to the queries)

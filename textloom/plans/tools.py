@@ -16,6 +16,7 @@ _PAIRS = "key_id long, src string, dst string, allow_reorder boolean"
 _ENTRIES = [(i, k, k.upper(), True) for i, k in enumerate(X.KEYS)] + [(i + 100, *rest) for i, *rest in X.PAIRS]
 _DQ = r'"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"'
 _SQ = r"'[^'\\\n]*(?:\\[^\n][^'\\\n]*)*'"
+_QUOTED = {"dq": _DQ, "sq": _SQ, "bt": r"`[^`\\]*(?:\\.[^`\\]*)*`"}
 
 
 @query
@@ -43,18 +44,6 @@ def stale_whitelist(spark, d):
     return matching.stale(words, found, "key_id")
 
 
-@query
-def literal_round_trip(spark, d):
-    def same(kind: str, ascii_only: bool):
-        @F.pandas_udf("boolean")
-        def f(t):
-            return t.map(lambda s: s is None or L.decode(L.encode(s, kind, ascii_only).encode()) == s)
-
-        return F.count_if(f("text")).alias(f"{kind}_{'ascii' if ascii_only else 'plain'}")
-
-    return documents(spark, d).agg(*[same(k, a) for k in ("dq", "sq", "tmpl_frag") for a in (False, True)])
-
-
 @query
 def search_forms(spark, d):
     rows = [(i, form, kind) for i, t in enumerate(X.FORMS) for form, kind in L.search_forms(t)]
@@ -63,9 +52,8 @@ def search_forms(spark, d):
 
 @query
 def quoted_literals(spark, d):
-    found = [F.explode(F.regexp_extract_all("html", F.lit(p), F.lit(0))) for p in (_DQ, _SQ)]
-    p = pages(spark, d)
-    both = p.select("page_id", F.lit("dq").alias("kind"), found[0].alias("literal")).union(p.select("page_id", F.lit("sq"), found[1]))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_extract_all("html", F.lit(r), F.lit(0)).alias("found")) for k, r in _QUOTED.items()])
+    both = pages(spark, d).select("page_id", F.explode(kinds).alias("k")).select("page_id", "k.kind", F.explode("k.found").alias("literal"))
     return both.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.countDistinct("literal").alias("n_distinct"), F.sum(F.octet_length("literal")).alias("bytes"))
 
 
@@ -155,9 +143,13 @@ ORACLES |= {
     "size_plan": f"WITH {_hits_sql()}, e(key_id, src, dst, ok) AS ({_rows(_ENTRIES)}) SELECT CAST(key_id AS BIGINT) AS key_id, count(*) AS n, CAST(sum(strlen(dst) - strlen(src)) AS BIGINT) AS delta FROM hits JOIN e USING (key_id) GROUP BY key_id",
     "unique_matches": "SELECT " + ", ".join(f"count(*) FILTER ((length(text) - length(replace(text, {_quoted(k)}, ''))) = {len(k)}) AS k{i}" for i, k in enumerate(X.KEYS)) + " FROM documents",
     "stale_whitelist": f"WITH w(key_id, w) AS ({_rows(list(enumerate(X.WHITE)))}) SELECT CAST(key_id AS BIGINT) AS key_id FROM w WHERE NOT EXISTS (SELECT 1 FROM documents WHERE contains(text, w))",
-    "literal_round_trip": "SELECT " + ", ".join(f"count(*) AS {k}_{a}" for k in ("dq", "sq", "tmpl_frag") for a in ("plain", "ascii")) + " FROM documents",
+    "search_forms": f"""WITH t(id, t) AS ({_rows(list(enumerate(X.FORMS)))}), e AS (SELECT id, t, replace(t, chr(92), chr(92) || chr(92)) AS b FROM t),
+        k AS (SELECT id, 0 AS i, t AS form, 'raw' AS lit_type FROM t UNION ALL SELECT id, 1, replace(replace(b, '"', chr(92) || '"'), chr(10), chr(92) || 'n'), 'dq' FROM e
+          UNION ALL SELECT id, 3, replace(replace(b, chr(39), chr(92) || chr(39)), chr(10), chr(92) || 'n'), 'sq' FROM e UNION ALL SELECT id, 5, replace(replace(b, '`', chr(92) || '`'), '$', chr(92) || '$'), 'tmpl_frag' FROM e),
+        a AS (SELECT * FROM k UNION ALL SELECT id, i + 1, replace(form, 'é', chr(92) || 'u00e9'), lit_type FROM k WHERE i > 0)
+        SELECT CAST(id AS BIGINT) AS id, form, arg_min(lit_type, i) AS lit_type FROM a GROUP BY id, form""",
     "quoted_literals": " UNION ALL ".join(
-        f"SELECT page_id, '{k}' AS kind, count(*) AS n, count(DISTINCT t) AS n_distinct, CAST(sum(strlen(t)) AS BIGINT) AS bytes FROM (SELECT page_id, unnest(regexp_extract_all(html, {_quoted(p)})) AS t FROM pages) GROUP BY page_id" for k, p in (("dq", _DQ), ("sq", _SQ))
+        f"SELECT page_id, '{k}' AS kind, count(*) AS n, count(DISTINCT t) AS n_distinct, CAST(sum(strlen(t)) AS BIGINT) AS bytes FROM (SELECT page_id, unnest(regexp_extract_all(html, {_quoted(p)})) AS t FROM pages) GROUP BY page_id" for k, p in _QUOTED.items()
     ),
     "text_digests": "SELECT page_id, sha256(html) AS sha, md5(html) AS md5 FROM pages",
     "text_previews": f"SELECT doc_id, {_DUCK_PREVIEW} AS preview FROM documents",
@@ -170,5 +162,5 @@ ORACLES |= {
     "version_flatten": f"SELECT * FROM ({_rows(X.CONFIG)}) t(version, platform, expected)",
     "version_sets": f"WITH r(version) AS ({_rows([(v,) for v in X.VERSIONS])}), k(version) AS ({_rows([(v,) for v, *_ in X.CONFIG])}) SELECT version, 'both' AS kind FROM (SELECT * FROM r INTERSECT SELECT * FROM k) UNION ALL SELECT version, 'run' FROM (SELECT * FROM r EXCEPT SELECT * FROM k) UNION ALL SELECT version, 'known' FROM (SELECT * FROM k EXCEPT SELECT * FROM r)",
     "unsupported_hashes": f"WITH f(version, platform, sha) AS ({_rows(X.FOUND)}), c(version, platform, expected) AS ({_rows(X.CONFIG)}) SELECT * FROM f WHERE sha NOT IN (SELECT expected FROM c)",
-    "container_format": f"WITH h(id, head) AS ({_rows(X.HEADS)}) SELECT CAST(id AS BIGINT) AS id, CASE WHEN head LIKE '7F454C46%' THEN 'linux' WHEN head LIKE 'CFFAEDFE%' OR head LIKE 'CAFEBABE%' THEN 'darwin' WHEN head LIKE '4D5A%' THEN 'win32' END AS platform FROM h",
+    "container_format": f"WITH h(id, head) AS ({_rows(X.HEADS)}) SELECT CAST(id AS BIGINT) AS id, CASE WHEN head LIKE '7F454C46%' THEN 'linux' WHEN head LIKE 'CFFAEDFE%' OR head LIKE 'FEEDFACF%' THEN 'darwin' WHEN head LIKE '4D5A%' THEN 'win32' END AS platform FROM h",
 }

@@ -1,63 +1,73 @@
-"""Captured requests: prompts in JSON bodies, and every description at any depth of a tool's schema."""
+"""Captured requests: prompts in JSON bodies, and every description at any depth of a tool's schema, as variants in SQL expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions.text import strip
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (its place in the file, from 1) and body of each line of JSON-lines files. Lines of large files are numbered by splits, in parallel."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))  # a row a split
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(W.partitionBy("file", "block").orderBy("i"))
+    numbered = lines.join(sizes.select("file", "block", before.alias("before")), ["file", "block"])
+    return numbered.select("file", (F.col("before") + own).alias("line"), F.get_json_object("value", "$.body").alias("body"))
+
+
+def _children(nodes: DataFrame, variant: str) -> DataFrame:
+    """nodes with pos, key (null in arrays) and value of each child of a variant; scalars have none."""
+    return nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col(variant).outer()))
 
-_BODY = "system array<struct<type:string,text:string>>, tools array<string>"
 
+def _kind(variant: str) -> Column:
+    return F.regexp_extract(F.schema_of_variant(F.col(variant)), r"^\w+", 0)
 
-def descriptions(node, path: str) -> Iterator[tuple[str, str]]:
-    """(path, text) of each non-empty string named description, in depth-first order; a property of that name is walked."""
-    if isinstance(node, dict):
-        for k, v in node.items():
-            if k == "description" and isinstance(v, str):
-                if v:
-                    yield f"{path}.{k}", v
-            else:
-                yield from descriptions(v, f"{path}.{k}")
-    elif isinstance(node, list):
-        for i, v in enumerate(node):
-            yield from descriptions(v, f"{path}[{i}]")
+
+def _string(variant: str, path: str = "$") -> Column:
+    """A string at a path; null for other types."""
+    found = F.try_variant_get(F.col(variant), path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(F.col(variant), path, "string"))
+
+
+def descriptions(nodes: DataFrame) -> DataFrame:
+    """label, text of each non-blank string named description below each node (label, node: a variant); a property of that name is walked.
+
+    One join a level of the deepest node; each level holds only what is still to be walked.
+    """
+    out, level = None, nodes.select("label", "node")
+    while True:
+        child = _children(level, "node").select(
+            F.when(F.col("key").isNull(), F.format_string("%s[%d]", "label", "pos")).otherwise(F.concat_ws(".", "label", "key")).alias("label"),
+            "key", F.col("value").alias("node"),
+        )
+        named = child.where("key = 'description'").select("label", _string("node").alias("text")).where(strip(F.col("text")) != "")
+        out = named if out is None else out.unionByName(named)
+        level = child.where(_kind("node").isin("OBJECT", "ARRAY")).select("label", "node")
+        if not level.take(1):
+            return out
 
 
 def segments(records: DataFrame) -> DataFrame:
     """label, text of each prompt in records (line: its place in the file, from 1; body: JSON text).
 
-    rec{line}.sys[{i}] for system texts, rec{line}.tool[{i}:{name}]... for a tool's description and its schema's; bodies
-    that are missing or no JSON objects, and tools of a wrong type, are passed over.
+    rec{line}.sys[{i}] for non-empty system texts, rec{line}.tool[{i}:{name}].description and ...input_schema for a tool's
+    non-blank descriptions; bodies that are missing or no JSON objects, tools that are no objects and schemas that are
+    none are passed over.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        for b in batches:
-            out = []
-            for line, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    body = json.loads(body or "")
-                except ValueError:
-                    continue
-                if not isinstance(body, dict):
-                    continue
-                for i, s in enumerate(body.get("system") or []):
-                    if isinstance(s, dict) and isinstance(s.get("text"), str) and s["text"]:
-                        out.append((f"rec{line}.sys[{i}]", s["text"]))
-                tools = body.get("tools")
-                for i, t in enumerate(tools if isinstance(tools, list) else []):
-                    if not isinstance(t, dict):
-                        continue
-                    label = f"rec{line}.tool[{i}:{t.get('name', '?')}]"
-                    if isinstance(t.get("description"), str) and t["description"]:
-                        out.append((label + ".description", t["description"]))
-                    out += descriptions(t.get("input_schema"), label + ".schema")
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.string()) for i in (0, 1)], ["label", "text"])
-
-    return records.select(F.col("line").cast("long"), "body").mapInArrow(run, "label string, text string")
+    bodies = records.select("line", F.try_parse_json("body").alias("body"))
+    part = lambda name: bodies.select("line", F.try_variant_get("body", f"$.{name}", "variant").alias("part")).where(_kind("part") == "ARRAY")
+    system = _children(part("system"), "part").select(F.format_string("rec%d.sys[%d]", "line", "pos").alias("label"), _string("value", "$.text").alias("text")).where("text <> ''")
+    tools = _children(part("tools"), "part").where(_kind("value") == "OBJECT")
+    name = F.coalesce(F.try_variant_get("value", "$.name", "string"), F.lit("?"))
+    tools = tools.select(F.format_string("rec%d.tool[%d:%s]", "line", "pos", name).alias("label"), "value")
+    own = tools.select(F.concat("label", F.lit(".description")).alias("label"), _string("value", "$.description").alias("text")).where(strip(F.col("text")) != "")
+    schemas = tools.select(F.concat("label", F.lit(".input_schema")).alias("label"), F.try_variant_get("value", "$.input_schema", "variant").alias("node")).where(_kind("node") == "OBJECT")
+    return system.unionByName(own).unionByName(descriptions(schemas))
 
 
 def without_external(found: DataFrame, mark: str = "mcp__") -> DataFrame:

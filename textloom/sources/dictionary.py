@@ -39,16 +39,37 @@ def whitelist(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def glossary(spark: SparkSession, path: str) -> DataFrame:
+    """term, keep, phrase, forms of {"terms": {term: {"zh": [...]} or {"keep": true}, "phrase": true}}."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "terms map<string,struct<zh:array<string>,keep:boolean,phrase:boolean>>").alias("g"))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return raw.select(F.explode("g.terms").alias("term", "t")).select("term", no("t.keep").alias("keep"), no("t.phrase").alias("phrase"), F.coalesce("t.zh", F.array().cast("array<string>")).alias("forms"))
+
+
+def terms(found: DataFrame) -> dict[str, list]:
+    """keep, translate (words), phrases (longest first) and require (forms by word) of a glossary, which is a short list: arguments of operators.glossary.violations."""
+    rows = sorted(found.collect(), key=lambda r: r["term"])
+    words = [r for r in rows if not r["phrase"]]
+    return {
+        "keep": [r["term"] for r in words if r["keep"]], "translate": [r["term"] for r in words if not r["keep"]],
+        "phrases": sorted((r["term"] for r in rows if r["phrase"]), key=lambda t: (-len(t), t)), "require": {r["term"]: list(r["forms"]) for r in words if r["forms"]},
+    }
+
+
+def pairs(spark: SparkSession, path: str) -> DataFrame:
+    """file, src, dst of path/*.json whose values are strings; keys that begin with _ are notes."""
+    raw = spark.read.text(f"{path}/*.json", wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.parse_json("value").alias("v"))
+    each = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where(~F.startswith("key", F.lit("_")) & (F.schema_of_variant("value") == "STRING"))
+    return each.select("file", F.col("key").alias("src"), F.variant_get("value", "$", "string").alias("dst"))
+
+
 def versions(spark: SparkSession, path: str) -> DataFrame:
-    """version, platform, expected of {"versions": {version: {platform: sha256}}}."""
+    """version, platform, expected of {"versions": {version: {platform: sha256}}}; an error if the file or that key is missing."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "versions map<string,map<string,string>>").alias("c"))
-    return raw.select(F.explode("c.versions").alias("version", "p")).select("version", F.explode("p").alias("platform", "expected"))
+    raw = raw.select(F.when(F.col("c.versions").isNull(), F.raise_error(F.lit("no versions")).cast("map<string,map<string,string>>")).otherwise(F.col("c.versions")).alias("v"))
+    return raw.select(F.explode("v").alias("version", "p")).select("version", F.explode("p").alias("platform", "expected"))
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a report's candidates."""
     return spark.read.json(path, multiLine=True).select(F.explode("candidates").alias("c")).select("c.*")
-
-
-def write_report(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
