@@ -6,7 +6,8 @@ share n-gram vectors with seen ones. Insults are a few words of a long text, so
 score is that of its worst window. In training each window first has its document's label; in later rounds only those
 windows of a toxic document count as toxic that the model finds worst, the others are left out.
 
-Learning uses at most SAMPLE documents of each class, taken in the order of a digest of their ids; scores cover all.
+Learning uses at most SAMPLE documents of each class, of LARGEST bytes at most each, taken in the order of a digest of
+their ids; scores cover all documents, whole.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from . import words as tok
 from .common import id_text, narrow_batches, remainder
 
-#: Documents of each class that are learned from.
-SAMPLE = 1200
+#: Documents of each class that are learned from, and the bytes that such a document has at most: what the driver gathers is bounded by both.
+SAMPLE, LARGEST = 1200, 1 << 18
 #: One in so many of them is held back from training and sets the bias instead.
 HELD_BACK = 4
 BUCKETS, WIDTH = 1 << 16, 8
@@ -219,22 +220,34 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Model:
-    """A model from labelled documents whose crc32(doc_id as text) mod modulus is not 0, SAMPLE of each class at most."""
+    """A model from labelled documents whose crc32(doc_id as text) mod modulus is not 0, SAMPLE of each class at most.
+
+    The sample is the least of a digest of the ids. A limit on the digest, from the number of labels, leaves few rows to
+    be ordered; as that limit only cuts the end of the same order, the sample is the same without it.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder(modulus) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = F.xxhash64(id_text()), F.col("doc_id")
-    take = [known.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
+    known = known.withColumn("order", F.xxhash64(id_text()))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    take = []
+    for c in (0, 1):
+        # twice the share that is wanted, and some: that fewer than SAMPLE are left has no chance worth counting
+        share = min(1.0, (2 * SAMPLE + 100) / max(1, counts.get(c, 0)))
+        low = known.where((F.col("toxic") == c) & (F.col("order") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1025)))))
+        take.append(low.orderBy("order", "doc_id").limit(SAMPLE))
     sample = F.broadcast(take[0].union(take[1]).select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label")))  # 2 * SAMPLE rows at most
-    rows = docs.join(sample, F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).orderBy("label_id").toArrow()
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LARGEST)
+    rows = short.join(sample, F.col("doc_id") == F.col("label_id")).groupBy("label_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).orderBy("label_id").toArrow()
     return train(rows["text"].to_pylist(), [int(x) for x in rows["label"].to_pylist()])
 
 
 def score(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs, in one pass over whole texts after training.
 
-    A null or wordless text gets the score of no evidence (below 0.5). Of a document's several labels the largest counts;
-    unlabelled rows, null labels and null ids are not learned from (a null id counts as the empty text in held_out). With
-    labels of one class only, or none, every score is the same and below 0.5. Repeated rows get equal scores; an empty
-    table gives an empty result; other columns are not looked at.
+    A null or wordless text gets the score of no evidence (below 0.5); a very long one is scored whole, and has the score
+    of its worst window. Of a document's several labels the largest counts, of several texts of one labelled id the
+    smallest; unlabelled rows, null labels and null ids are not learned from (a null id counts as the empty text in
+    held_out). With labels of one class only, or none, every score is the same and below 0.5. Equal texts get equal
+    scores; an empty table gives an empty result; other columns, whatever their names, are not looked at.
     """
     narrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, modulus))
@@ -249,7 +262,10 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with docs' own columns. Texts are not shuffled."""
+    """The rows of docs that are not predicted toxic, with docs' own columns, whatever their names. Texts are not shuffled.
+
+    Null, empty, very long and repeated texts are judged as score() scores them; an empty table gives an empty result.
+    """
     narrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
 
