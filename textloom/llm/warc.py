@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from .common import checked_broadcast, cut, shared_dir
+from . import common
+from .common import cut, shared_dir
 
 SCHEMA = "record_id string, record_type string, target_uri string, page_id string, refers_to string, payload_digest string, payload_length long, payload binary"
 FILE_BYTES = 256 << 20
@@ -43,6 +44,12 @@ def _field(headers: dict[str, str], name: str):
     return int(value) if name == "payload_length" else value
 
 
+def _end(stream) -> None:
+    """Reads the two line ends behind a block, which are missing if it was cut off, passed over or not."""
+    if stream.read(4) != b"\r\n\r\n":
+        raise ValueError("a record ends before its length")
+
+
 def records(stream, wants_payload: bool, keep=lambda headers: True) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """Headers (names in lower case) and payload of the records that keep accepts. Other blocks are passed by seeking."""
     while line := stream.readline():
@@ -57,16 +64,16 @@ def records(stream, wants_payload: bool, keep=lambda headers: True) -> Iterator[
         length = int(headers.get("content-length", 0))
         if not keep(headers):
             stream.seek(length, 1)
+            _end(stream)
             continue
         payload = None
         if wants_payload and headers.get("warc-type") != "revisit":
             block = stream.read(length)
-            if len(block) < length:
-                raise ValueError("a record ends before its length")
             head = block.find(b"\r\n\r\n") if headers.get("content-type", "").startswith("application/http") else -4
             payload = block[head + 4 :] if head >= -4 else block
         else:
             stream.seek(length, 1)
+        _end(stream)
         yield headers, payload
 
 
@@ -200,21 +207,29 @@ def register(spark: SparkSession) -> None:
 
 
 LEAST_BYTES = 1000
+#: Tasks over which the pages of one payload are spread where they have to be shuffled.
+SALTS = 32
 
 
 def store(pages: DataFrame, path: str) -> None:
     """Writes a record a row of pages: of rows with equal payloads of LEAST_BYTES at least, the one with the largest page_id as response, others as revisits of it.
 
     A null html is an empty payload. Rows without a page_id are responses of their own unless another row with their
-    payload has one. Of rows that repeat the largest page_id with that payload, all are responses. Only digests that
-    occur twice are joined, by broadcast if a count allows it, so pages are not shuffled otherwise.
+    payload has one. Of rows that repeat the largest page_id with that payload, all are responses. Very large payloads are
+    written whole. Other columns, whatever their names, are not looked at. Only digests that occur twice are joined, by
+    broadcast if a count allows it; beyond that pages are shuffled once, a common page's over SALTS tasks.
     """
     register(pages.sparkSession)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     large = F.col("n") >= LEAST_BYTES
     twice = cut(rows.where(large).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("first")).where((F.col("copies") > 1) & F.col("first").isNotNull()).select(F.col("digest").alias("d"), "first"))
-    both = rows.join(checked_broadcast(twice), (F.col("digest") == F.col("d")) & large, "left")
+    if twice.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        both = rows.join(F.broadcast(twice), (F.col("digest") == F.col("d")) & large, "left")
+    else:
+        salted = twice.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # SALTS short rows for each
+        rows = rows.withColumn("salt", F.when(large, F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")))
+        both = rows.join(salted, (F.col("digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     out = both.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
     out.write.format("warc").mode("append").save(path)
@@ -223,8 +238,10 @@ def store(pages: DataFrame, path: str) -> None:
 def archived(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of pages' records, as read back from their archives.
 
-    Responses' payloads are read and digested anew; of revisits only headers are read. A repeated page gives a row each
-    time; an empty table an empty result; other columns are not looked at.
+    Responses' payloads are read and digested anew, very large ones too; of revisits only headers are read. A null html is
+    an empty payload. A repeated page gives a row each time; of equal payloads the largest page_id is the response; an
+    empty table gives an empty result; other columns, whatever their names, are not looked at. The archives stay in a
+    folder warc-<number> of the shared folder, as the result is read from them when it is used.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
