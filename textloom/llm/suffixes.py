@@ -1,12 +1,17 @@
-"""Passages of MIN_WORDS words or more that texts share, by the windows of MIN_WORDS words that they are made of.
+"""Passages of MIN_WORDS words or more that texts share, by a sparse suffix array over minimiser positions.
 
-A passage of MIN_WORDS words or more is shared if and only if each of its windows of MIN_WORDS words is. A window's least
-hash of K words (of its WINDOW such hashes) is the same wherever the window stands, so windows whose least hash one text
-only has are left out (a fixed-size table of bits tells; a wrong bit costs rows, never a passage). All other windows are
-sorted over the whole cluster by range: by that least hash, their own hash, and their document. Equal windows then follow
-each other, the smallest document's first, and a window in a third of all rows fills many partitions. Runs of equal
-windows at the edges of a partition are decided by what the other partitions say of the same window (two rows of each).
-Windows with one least hash are neighbours in their text and leave a partition as one span.
+Of each text only suffixes at content-selected positions are retained: where the least hash of K words in some window of
+MIN_WORDS words stands (a window has WINDOW such hashes; the least is the same wherever the window stands). Suffixes
+whose K words one text only has are left out (a fixed-size table of bits tells; a wrong bit costs rows, never a passage).
+
+Neighbours in one order of the suffixes would not do: two texts may share, say, 20 words before a position and 30 from it
+on, while each has longer one-sided matches with others, that stand between them in any single order. So a retained
+suffix enters the array once for each of its left extensions that makes a window of MIN_WORDS words, with the hash of that
+window: the array is sorted over the cluster, by range, by the K words, that hash and the document. Equal windows are
+neighbours then, the smallest document's first, so no partner is missed, and a window in a third of all rows fills many
+partitions. Runs of equal windows at the edges of a partition are decided by what the other partitions say of the same
+window (two rows of each). What matches is extended left and right: windows of one suffix that match and meet leave a
+partition as one span, and spans of neighbouring suffixes that meet become one passage.
 
 Of the places of a window all are redundant but those in the smallest (doc_id, text). As that order is total, each window
 is redundant everywhere but in one document, which is the same for all of its places.
@@ -193,13 +198,16 @@ def shared_spans(docs: DataFrame) -> DataFrame:
     """doc_id, k, start, end, keeper, redundant: spans of words that texts share; k: a digest of id and text; keeper: the smallest document that has a window of it."""
     narrow_batches(docs.sparkSession)
     # ranges of even size also where one passage fills many of them
-    docs.sparkSession.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "200")
+    conf, sampled = docs.sparkSession.conf, "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    before = conf.get(sampled)
+    conf.set(sampled, "200")
     texts = docs.select("doc_id", _key().alias("k"), F.col("text").cast("string").alias("text"))
     table = docs.sparkSession.sparkContext.broadcast(_twice(texts))  # 2 ** BITS bits
     kind = docs.schema["doc_id"].dataType.simpleString()
     order = ("m", "h", "doc_id", "k", "pos")
     found = _windows(texts, table).repartitionByRange(*order).sortWithinPartitions(*order)
     found = cut(found.mapInArrow(_compare, f"doc_id {kind}, k long, start int, end int, keeper {kind}, redundant boolean, m long, h long, side int"))
+    conf.set(sampled, before)
     table.destroy()
     edges = found.where("side = 1").groupBy("m", "h").agg(F.min(F.struct("doc_id", "k")).alias("low"), (F.max("redundant") | (F.min("k") != F.max("k"))).alias("many")).where("many")  # of two rows a partition at most
     low = docs.sparkSession.sparkContext.broadcast({(r["m"], r["h"]): (r["low"]["doc_id"], r["low"]["k"]) for r in edges.collect()})
@@ -228,14 +236,16 @@ def passages(docs: DataFrame) -> DataFrame:
     """doc_id, k, start_word, end_word, redundant, keeper: shared spans merged in each document, redundant ones and kept ones each by themselves.
 
     Words are [^\\x20\\x09-\\x0D]+, compared exactly; words are counted from 0. Documents that share no passage have no
-    row. A null or short text shares none; rows that repeat an id and a text count as one document; a null doc_id is the
-    smallest. An empty table gives an empty result; other columns are not looked at.
+    row. A null or short text shares none; a very long one is compared whole; rows that repeat an id and a text count as
+    one document; of equal texts that with the smallest doc_id keeps its passages, of equal doc_ids that with the smallest
+    k; a null doc_id is the smallest. An empty table gives an empty result; other columns, whatever their names, are not
+    looked at.
     """
     spans = shared_spans(docs)
-    order = W.partitionBy("k", "redundant").orderBy("start", "end")
+    order = W.partitionBy("doc_id", "k", "redundant").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
     spans = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("island", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return spans.groupBy("k", "redundant", "island").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("keeper").alias("keeper")).select("doc_id", "k", "start_word", "end_word", "redundant", "keeper")
+    return spans.groupBy("doc_id", "k", "redundant", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("keeper").alias("keeper")).select("doc_id", "k", "start_word", "end_word", "redundant", "keeper")
 
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -254,14 +264,15 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs without redundant passages, with docs' own columns (n_chars, where there is one, counted anew).
+    """The rows of docs without redundant passages, with docs' own columns, whatever their names (n_chars, where there is one, counted anew).
 
-    A document that loses all its words is left out; all others stay, those that share nothing unchanged.
+    A document that loses all its words is left out; all others stay, those that share nothing unchanged, null and empty
+    texts too. Rows that repeat an id and a text lose the same words. An empty table gives an empty result.
     """
     found = passages(docs).where("redundant")
-    per = cut(found.groupBy(F.col("k").alias("cut_k")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cuts")))
+    per = cut(found.groupBy(F.col("k").alias("cut_k"), F.col("doc_id").alias("cut_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))).alias("cuts")))
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(own.alias("row"), _key().alias("k")).join(checked_broadcast(per), F.col("k") == F.col("cut_k"), "left")
+    rows = docs.select(own.alias("row"), _key().alias("k")).join(checked_broadcast(per), (F.col("k") == F.col("cut_k")) & F.col("row.doc_id").eqNullSafe(F.col("cut_id")), "left")
 
     @F.pandas_udf("string")
     def clean(text, cuts):
