@@ -297,7 +297,11 @@ def payload_of(h: Header, coefficients: np.ndarray) -> bytes:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media of each row: its text (null: empty) as UTF-8, padded, in a JPEG file. Equal texts give equal files."""
+    """doc_id, n_bytes, media of each row: its text (null: empty) as UTF-8, padded, in a JPEG file.
+
+    Equal texts give equal files, and repeated rows a file each; a very long text is one file, of up to 3 GB. An empty
+    table gives an empty result; other columns, whatever their names, are not looked at.
+    """
     narrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

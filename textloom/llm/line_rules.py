@@ -119,8 +119,9 @@ _NAMES = [x.split()[0] for x in OUT.split(", ")]
 def judge(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id and the columns of OUT for each row of docs, in one pass over the texts, without a shuffle.
 
-    A null text counts as empty: no words, base_failed, not kept. Repeated rows are judged each by itself. An empty
-    table gives an empty result. Other columns are not looked at.
+    A null text counts as empty: no words, base_failed, not kept. A very long one is judged whole. Repeated rows are judged
+    each by itself; of equal lines of a text the first stays. An empty table gives an empty result. Other columns, whatever
+    their names, are not looked at.
     """
     narrow_batches(docs.sparkSession)
 
