@@ -15,22 +15,27 @@ from textloom.llm.common import shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go; null and empty texts stay. See toxicity.keep."""
     return toxicity.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that share 0.8 of their five-word shingles the smallest doc_id stays; texts without words are one group. See simhash.dedup."""
     return simhash.dedup(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that a smaller doc_id has too go; a document goes if no word is left. See suffixes.dedup."""
     return suffixes.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source is brought to its target of words: documents are left out or repeated, up to three times. See mixing.take."""
     return mixing.take(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece of each document, packed into sequences of 1024 tokens; a null or empty text is one end token. See packing.pack."""
     return packing.pack(docs)
 
 
