@@ -229,3 +229,21 @@ def test_groups_of_literals(spark):
     assert got == [("one", 3, False), ("two", 3, False), ("three", 3, False), ("four", 1, False), ("x ", 1, False), (" y ", 1, False), ("in", 1, False), (" z", 1, False), ("ab", 1, False), ("你", 1, False), ("english words", 1, True), ("a", 1, False), ("b", 1, False)]
     t = {r["text"]: r["template_group"] for r in lits.collect()}
     assert t["x "] == t[" y "] != t[" z"] and t["ab"] == t["你"] == t["english words"]
+
+
+def test_reports_and_keys_read_back(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"source": "x", "candidates": [{"text": "a", "score": 5}, {"text": "b", "score": 2}]}))
+    assert rows(dictionary.candidates(spark, str(tmp_path / "r.json")).select("text", "score")) == [("a", 5), ("b", 2)]
+    (tmp_path / "d").mkdir()
+    for name in "ab":
+        (tmp_path / "d" / f"{name}.json").write_text(json.dumps({"one": name, "_x": "y"}))
+    assert rows(dictionary.entries(spark, str(tmp_path / "d"), check=False).select("src").distinct()) == [("one",)]
+
+
+def test_descriptions_deeper_than_a_pass(spark):
+    node = {"description": "bottom", "x": {}}
+    for i in range(15):
+        node = [node, 1] if i % 3 == 0 else {"description": node, "y": "z"}
+    body = json.dumps({"tools": [{"name": "t", "input_schema": {"a": node}}]})
+    found = capture.segments(spark.createDataFrame([(7, body)], "line long, body string")).collect()
+    assert [r["text"] for r in found] == ["bottom"] and found[0]["label"].startswith("rec7.tool[0:t].input_schema.a.description.description[0]") and found[0]["label"].count("description") == 11

@@ -19,6 +19,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("file", (F.col("before") + own).alias("line"), F.get_json_object("value", "$.body").alias("body"))
 
 
+#: Levels of a schema that are walked between two looks at whether any is left.
+LEVELS = 6
+
+
 def _children(nodes: DataFrame, variant: str) -> DataFrame:
     """nodes with pos, key (null in arrays) and value of each child of a variant; scalars have none."""
     return nodes.lateralJoin(nodes.sparkSession.tvf.variant_explode(F.col(variant).outer()))
@@ -37,19 +41,20 @@ def _string(variant: str, path: str = "$") -> Column:
 def descriptions(nodes: DataFrame) -> DataFrame:
     """label, text of each non-blank string named description below each node (label, node: a variant); a property of that name is walked.
 
-    One join a level of the deepest node; each level holds only what is still to be walked.
+    Rows are nodes still to be walked, which turn into their children level by level, and texts found, which stay. So all
+    levels are one pass over the input; another pass follows only where a node is deeper than LEVELS.
     """
-    out, level = None, nodes.select("label", "node")
+    rows, tvf = nodes.select("label", F.lit(None).cast("string").alias("text"), "node"), nodes.sparkSession.tvf
+    walked = F.col("node").isNotNull()
+    label = F.when(~walked, F.col("label")).when(F.col("key").isNull(), F.format_string("%s[%d]", "label", "pos")).otherwise(F.concat_ws(".", "label", "key"))
+    found = F.when(F.col("key") == "description", _string("value"))
+    text = F.when(~walked, F.col("text")).when(strip(found) != "", found)
     while True:
-        child = _children(level, "node").select(
-            F.when(F.col("key").isNull(), F.format_string("%s[%d]", "label", "pos")).otherwise(F.concat_ws(".", "label", "key")).alias("label"),
-            "key", F.col("value").alias("node"),
-        )
-        named = child.where("key = 'description'").select("label", _string("node").alias("text")).where(strip(F.col("text")) != "")
-        out = named if out is None else out.unionByName(named)
-        level = child.where(_kind("node").isin("OBJECT", "ARRAY")).select("label", "node")
-        if not level.take(1):
-            return out
+        for _ in range(LEVELS):
+            child = rows.lateralJoin(tvf.variant_explode_outer(F.col("node").outer()))
+            rows = child.select(label.alias("label"), text.alias("text"), F.when(walked & _kind("value").isin("OBJECT", "ARRAY"), F.col("value")).alias("node")).where("text IS NOT NULL OR node IS NOT NULL")
+        if not rows.where("node IS NOT NULL").take(1):
+            return rows.select("label", "text")
 
 
 def segments(records: DataFrame) -> DataFrame:
