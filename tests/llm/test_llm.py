@@ -562,7 +562,7 @@ def _similar_groups(rows, least=0.8, k=5):
     return {min(g) for g in group.values()}
 
 
-@pytest.mark.parametrize("shard", [20_000, 8])
+@pytest.mark.parametrize("shard", [20_000, 8, 2])
 def test_near_copies_against_all_pairs(spark, monkeypatch, shard):
     """Chains of edits whose similarities lie on both sides of the threshold."""
     monkeypatch.setattr(simhash, "SHARD", shard)

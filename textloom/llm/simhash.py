@@ -10,7 +10,8 @@ broadcast from the driver, since the driver must not gather the fingerprints of
     fingerprints the other bits are cut into r + 1 blocks again, and so on: r + 1 rows for one, however large the shard.
   similar texts (Jaccard similarity of shingles): one shard for each value of each band of min-hashes; a link must lie
     within the radius, and the similarity of the two sets of shingles must be large enough. A shard with more than SHARD
-    rows is split; each pair of its parts is a task.
+    rows is cut into parts. Each part meets the first one; then only rows outside the shard's largest component meet all
+    parts, as two rows inside it need no link. So one group of near copies costs twice its rows, however large it is.
 """
 
 from __future__ import annotations
@@ -196,14 +197,30 @@ def _met_by_blocks(items: DataFrame, radius: int) -> DataFrame:
         level = cut(level.join(hot_keys, "key").select("id", "fp", "path"))
 
 
-def _met_by_bands(items: DataFrame, sets: DataFrame) -> DataFrame:
-    """id, fp, key, sig: items (id, fp, keys, rid), once for each task that searches (a pair of parts of) a shard; sets: rid, sig."""
+def _links_by_bands(items: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links of items (id, fp, keys, rid) that share a band and are similar; sets: rid, sig."""
     rows = items.select("id", "fp", "rid", F.explode(F.array_distinct("keys")).alias("key"))
-    count = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int"))
-    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.least(x, part) * 65536 + F.greatest(x, part))
-    met = rows.join(count, "key").select("id", "fp", "rid", F.explode(F.transform(pairs, lambda x: F.xxhash64("key", x))).alias("key"))
-    return met.join(sets, "rid").drop("rid")  # sets travel only with rows that share a shard
+    count = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / SHARD).cast("int")))
+    # sets travel only with rows that share a shard
+    find = lambda met: links(met.select("id", "fp", "rid", "key").join(sets, "rid").drop("rid"), radius, similarity)
+    out = find(rows.join(count.where("parts = 1").select("key"), "key"))
+    wide = count.where("parts > 1").select("key", "parts")
+    if not wide.take(1):
+        return out
+    wide = cut(rows.join(wide, "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    task = lambda *of: F.xxhash64("key", *of).alias("key")
+    met = wide.select("id", "fp", "rid", "key", F.explode(F.when(F.col("part") == 0, every).otherwise(F.array("part"))).alias("to"))
+    first = cut(find(met.select("id", "fp", "rid", task("to"))))
+    wide = cut(wide.join(connected(first), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    largest = wide.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
+    both = wide.join(largest, "key").withColumn("out", F.col("root") != F.col("largest"))
+    blocks = both.where("out").groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
+    both = both.join(blocks, "key")
+    as_row = both.select("id", "fp", "rid", "key", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    as_query = both.where("out").select("id", "fp", "rid", "key", F.explode(every).alias("part"), F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
+    second = find(as_row.union(as_query).select("id", "fp", "rid", task("block", "part")).distinct())
+    return out.union(first).union(second)
 
 
 def links(met: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
@@ -306,9 +323,8 @@ def similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     """
     rows = cut(with_fingerprints(docs, shingle, signed=True)).withColumns({"set": F.xxhash64("sig"), "rid": F.monotonically_increasing_id()})
     # equal sets of shingles are one item, named by its first document
-    texts = rows.groupBy("fp", "set").agg(F.min(F.struct("doc_id", "k", "rid")).alias("id"), F.first("bands").alias("keys"))
-    met = _met_by_bands(texts.select("id", "fp", "keys", F.col("id.rid").alias("rid")), rows.select("rid", "sig"))
-    root = connected(links(met, radius, similarity))
+    texts = cut(rows.groupBy("fp", "set").agg(F.min(F.struct("doc_id", "k", "rid")).alias("id"), F.first("bands").alias("keys")))
+    root = connected(_links_by_bands(texts.select("id", "fp", "keys", F.col("id.rid").alias("rid")), rows.select("rid", "sig"), radius, similarity))
     named = texts.select("fp", "set", "id").join(root, "id", "left").select("fp", "set", F.coalesce("root", "id").alias("root"))
     both = rows.select("doc_id", "k", "fp", "set").join(named, ["fp", "set"])
     return both.select("doc_id", "k", F.col("root.doc_id").alias("kept_id"), (F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("k") == F.col("root.k"))).alias("kept"))
