@@ -159,6 +159,12 @@ ORACLES |= {
     "longest_texts": "SELECT doc_id, length(text) AS n FROM documents ORDER BY n DESC, doc_id LIMIT 30",
     "numbered_texts": "SELECT doc_id, strlen(text) AS bytes, row_number() OVER (ORDER BY strlen(text) DESC, doc_id) AS place FROM documents WHERE strlen(text) >= 100",
     "sentinel_names": f"WITH m(id, src) AS ({_rows(X.MARKED)}), a AS (SELECT id, regexp_extract_all(src, '\\$\\{{(__[A-Z0-9_]+__)\\}}', 1) AS names FROM m), b AS (SELECT id, unnest(names) AS name, unnest(range(len(names))) AS nr FROM a), c AS (SELECT id, name, min(nr) AS nr FROM b WHERE name IN {_list([n for n, _ in X.VARIABLES])} GROUP BY id, name) SELECT CAST(id AS BIGINT) AS id, row_number() OVER (PARTITION BY id ORDER BY nr) - 1 AS i, name FROM c",
+    "sentinel_resolve": f"WITH b(id, buffer) AS ({_rows(X.BUFFERS)}), "
+    # the k-th declaration of a name looks at the k-th place of its anchor
+    r"""p AS (SELECT id, buffer, unnest(range(1, length(buffer) + 1)) AS p FROM b),
+        n AS (SELECT id, 'n' AS name, p, regexp_extract(substr(buffer, p), '^A(\$\{[\w.$]+\})B', 1) AS var FROM p WHERE substr(buffer, p, 1) = 'A' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) <= 3),
+        m AS (SELECT id, 'm' AS name, p, regexp_extract(substr(buffer, 1, p - 1), '(\$\{[\w.$]+\})$', 1) AS var FROM p WHERE substr(buffer, p, 1) = 'Q' QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) <= 1)
+        SELECT CAST(id AS BIGINT) AS id, name, row_number() OVER (PARTITION BY id, name ORDER BY p) AS k, var FROM (SELECT * FROM n UNION ALL SELECT * FROM m) WHERE var <> ''""",
     "version_flatten": f"SELECT * FROM ({_rows(X.CONFIG)}) t(version, platform, expected)",
     "version_sets": f"WITH r(version) AS ({_rows([(v,) for v in X.VERSIONS])}), k(version) AS ({_rows([(v,) for v, *_ in X.CONFIG])}) SELECT version, 'both' AS kind FROM (SELECT * FROM r INTERSECT SELECT * FROM k) UNION ALL SELECT version, 'run' FROM (SELECT * FROM r EXCEPT SELECT * FROM k) UNION ALL SELECT version, 'known' FROM (SELECT * FROM k EXCEPT SELECT * FROM r)",
     "unsupported_hashes": f"WITH f(version, platform, sha) AS ({_rows(X.FOUND)}), c(version, platform, expected) AS ({_rows(X.CONFIG)}) SELECT * FROM f WHERE sha NOT IN (SELECT expected FROM c)",
