@@ -247,3 +247,21 @@ def test_descriptions_deeper_than_a_pass(spark):
     body = json.dumps({"tools": [{"name": "t", "input_schema": {"a": node}}]})
     found = capture.segments(spark.createDataFrame([(7, body)], "line long, body string")).collect()
     assert [r["text"] for r in found] == ["bottom"] and found[0]["label"].startswith("rec7.tool[0:t].input_schema.a.description.description[0]") and found[0]["label"].count("description") == 11
+
+
+def test_shared_beginnings_match_the_same_words():
+    import re as regex
+
+    words = ["a", "an", "and", "as", "be", "been", "being", "in", "into", "do", "don", "x"]
+    pattern = regex.compile("(?<![a-z])" + scoring._branches(words) + "(?![a-z])")
+    for w in [*words, "ands", "b", "bee", "int", "dont", "xx", "i"]:
+        assert bool(pattern.search(f"-{w}-")) == (w in words)
+
+
+def test_patterns_present(spark):
+    from textloom.functions import rules as R
+
+    texts = ["plain words", *R.CODE_MARKERS, *R.MINIFIED_TOKENS, "return Error and void 0", ".length of a.b", "x" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = df.orderBy("i").select(scoring.present(F.col("text"), R.CODE_MARKERS), scoring.present(F.col("text"), R.MINIFIED_TOKENS)).collect()
+    assert [tuple(r) for r in got] == [(sum(p in t for p in R.CODE_MARKERS), sum(p in t for p in R.MINIFIED_TOKENS)) for t in texts]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import add, or_
 
@@ -9,17 +10,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .text import strip
+from .text import quote, strip
+
+
+_MARK, _JOINT = r"[(){}=;:\[`/!]", r"[.,][A-Za-z_]"
 
 
 def present(text: Column, patterns: list[str]) -> Column:
-    """How many of the patterns occur in text (each counts once)."""
-    return reduce(add, [F.contains(text, F.lit(p)).cast("int") for p in patterns], F.lit(0))
+    """How many of the patterns occur in text (each counts once).
+
+    Long lists are of code: all their patterns have a mark, or a letter right after a full stop or comma, or are a few
+    words. One look tells that a text has none of these, as most prose, and spares it the search for each pattern.
+    """
+    count = reduce(add, [F.contains(text, F.lit(p)).cast("int") for p in patterns], F.lit(0))
+    if len(patterns) < 20:
+        return count
+    others = [quote(p) for p in patterns if not re.search(f"{_MARK}|{_JOINT}", p)]
+    return F.when(text.rlike("|".join([_MARK, _JOINT, *others])), count).otherwise(0)
+
+
+def _branches(words: list[str]) -> str:
+    """A pattern of the words that tries each letter once: words with a common beginning share it."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    out = [c + (_branches(rest) if any(rest) else "") for c, rest in heads.items()]
+    whole = "(?:" + "|".join(out) + ")" if len(out) > 1 else out[0]
+    return whole + "?" if "" in words and len(out) == 1 and len(out[0]) == 1 else f"(?:{whole})?" if "" in words else whole
 
 
 def words_in(text: Column, words: list[str]) -> Column:
     """How often the listed words occur among the runs of two letters or apostrophes or more."""
-    return F.regexp_count(F.lower(text), F.lit("(?<![a-z'])(?:" + "|".join(w for w in words if len(w) > 1) + ")(?![a-z'])"))
+    return F.regexp_count(F.lower(text), F.lit("(?<![a-z'])" + _branches(sorted(w for w in words if len(w) > 1)) + "(?![a-z'])"))
 
 
 def score_rules(text: Column, sdk: list[str] = (), errors: list[str] = (), browser: list[str] = ()) -> list[tuple[str, Column, int]]:
@@ -71,7 +94,7 @@ def legacy_features(text: Column) -> dict[str, Column]:
     words = F.regexp_count(text, F.lit("[a-zA-Z]+"))
     letters = F.regexp_count(text, F.lit("[a-zA-Z]"))
     n = F.char_length(text)
-    stops = F.regexp_count(F.lower(text), F.lit("(?<![a-z])(?:" + "|".join(R.LEGACY_STOP_WORDS) + ")(?![a-z])"))
+    stops = F.regexp_count(F.lower(text), F.lit("(?<![a-z])" + _branches(R.LEGACY_STOP_WORDS) + "(?![a-z])"))
     ends = F.regexp_count(text, F.lit("[.?!]"))
     return {
         "words": words, "stop_hits": stops, "stop_density": stops / F.greatest(words, F.lit(1)), "avg_word_len": letters / F.greatest(words, F.lit(1)),
