@@ -84,7 +84,7 @@ def _attach(rows: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
     on = _same_source()
     if "s_digits" in per.columns:
         on = on & (F.col("digits") == F.col("s_digits"))
-    return rows.join(checked_broadcast(per), on, how).drop("s_source", "s_digits")
+    return rows.join(checked_broadcast(per, 500_000), on, how).drop("s_source", "s_digits")  # 100 bytes a row
 
 
 def chances(per: DataFrame, sizes: DataFrame) -> DataFrame:
