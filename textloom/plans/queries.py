@@ -12,7 +12,7 @@ from ..functions import literals as L
 from ..functions import rules as R
 from ..functions import scoring, text
 from ..operators import catalog, coverage, glossary, groups, matching, versions
-from ..sources import capture
+from ..sources import capture, tables
 from . import fixtures as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def query(f):
 
 
 def _table(name: str):
-    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
+    return lambda spark, d: tables.read(spark, f"{d}/{name}.parquet")
 
 
 documents, benchmark, pages, conversations, labels = map(_table, ("documents", "benchmark", "pages", "conversations", "labels"))
