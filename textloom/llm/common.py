@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def checked_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast only if a count of its (already written) rows stays within most."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def id_text(column: str = "doc_id") -> Column:

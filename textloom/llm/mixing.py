@@ -45,7 +45,7 @@ def digits(size: Column) -> Column:
 
 def _before(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """df with, for each name, the sum of its column over the rows that stand before in an order, which is total."""
-    many = df.limit(SOURCES + 1).count() > SOURCES
+    many = df.count() > SOURCES
     if many:
         df = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
         parts = df.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])  # a row for each partition

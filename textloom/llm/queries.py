@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
 from . import hmm, jpeg, licenses, line_rules, mixing, packing, simhash, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return tables.read(spark, f"{sf_dir}/documents.parquet")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.archived(tables.read(spark, f"{sf_dir}/pages.parquet"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

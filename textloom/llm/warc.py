@@ -224,7 +224,7 @@ def store(pages: DataFrame, path: str) -> None:
     rows = pages.select("page_id", "url", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n"))
     large = F.col("n") >= LEAST_BYTES
     twice = cut(rows.where(large).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("first")).where((F.col("copies") > 1) & F.col("first").isNotNull()).select(F.col("digest").alias("d"), "first"))
-    if twice.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+    if twice.count() <= common.BROADCAST_ROWS:
         both = rows.join(F.broadcast(twice), (F.col("digest") == F.col("d")) & large, "left")
     else:
         salted = twice.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # SALTS short rows for each
