@@ -225,7 +225,7 @@ def _packed(rows: DataFrame, turn: int, capacity: int) -> DataFrame:
         sizes = t["length"].to_numpy()
         bins, offsets, certified = packed(sizes, capacity)
         filled = np.bincount(bins, sizes).astype(np.int64)
-        t = t.append_column("sequence_id", pa.array((turn << 56) + t["pid"].to_numpy() * (1 << 24) + bins))
+        t = t.append_column("sequence_id", pa.array((turn << 48) + t["pid"].to_numpy() * (1 << 17) + bins))
         t = t.append_column("offset", pa.array(offsets)).append_column("room", pa.array(capacity - filled[bins]))
         return t.append_column("certified", pa.array(np.full(len(sizes), certified)))
 
