@@ -875,3 +875,34 @@ def test_pipeline(spark, tmp_path):
     assert {r["doc_id"] for r in counts[1].collect()} == {*range(60), *range(200, 205), 300}
     assert counts[2].count() == 66 and counts[2].where(F.contains("text", F.lit(PASSAGE))).count() == 1
     assert P.run(spark, str(tmp_path)).count() == counts[4].count()
+
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["op1_mixing", "op2_suffix_dedup", "op3_license_scan", "op7_warc", "op10_line_rules"])
+def test_query_against_sql(spark, name):
+    from textloom.llm import queries as Q
+
+    assert set(Q.ORACLES) == {"op1_mixing", "op2_suffix_dedup", "op3_license_scan", "op7_warc", "op10_line_rules"}
+    db = duckdb.connect()
+    for t in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = Q.QUERIES[name](spark, DATA), db.sql(Q.ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    plain = lambda v: None if v is None or isinstance(v, float) and math.isnan(v) else round(v, 9) if isinstance(v, float) else v
+    rows = lambda names, all_: sorted((tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in all_), key=str)
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_sql_on_odd_rows(spark, docs):
+    """Nulls, empty texts, ties and repeated ids in the SQL of scans and line rules."""
+    from textloom.llm import oracles
+
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    for got, sql in ((licenses.scan(docs).drop("spans"), oracles.LICENSES), (line_rules.judge(docs).drop("clean_text"), oracles.LINES)):
+        want = db.sql(sql)
+        rows = lambda names, all_: sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in all_), key=str)
+        assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables
-from . import hmm, jpeg, licenses, line_rules, mixing, packing, simhash, suffixes, toxicity, warc
+from . import hmm, jpeg, licenses, line_rules, mixing, oracles, packing, simhash, suffixes, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +59,4 @@ def op10_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_mixing, op2_suffix_dedup, op3_license_scan, op4_jpeg, op5_toxicity, op6_simhash, op7_warc, op8_packing, op9_hmm, op10_line_rules)
 }
-ORACLES: dict[str, str] = {"op1_mixing": mixing.mix_sql(), "op7_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_mixing": mixing.mix_sql(), "op2_suffix_dedup": oracles.PASSAGES, "op3_license_scan": oracles.LICENSES, "op7_warc": warc.SQL, "op10_line_rules": oracles.LINES}
