@@ -91,6 +91,7 @@ def test_mixing(spark, docs, empty):
 def test_mixing_numbers_many_sources_over_the_cluster(spark, docs, monkeypatch):
     want = sorted(map(tuple, mixing.mix(docs).collect()), key=str)
     monkeypatch.setattr(mixing, "SOURCES", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1)
     assert sorted(map(tuple, mixing.mix(docs).collect()), key=str) == want
 
 
@@ -100,12 +101,12 @@ def test_mixing_draws_with_the_stated_probabilities(spark):
     rows = [(i, " ".join(["w"] * r.choice([3, 6, 12, 25, 50])), "a") for i in range(20_000)] + [(10**6 + i, "w " * 40, "b") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     sized = mixing._sized(df, "source", "text", "doc_id").drop("text").cache()
-    per, classes = mixing.plan(sized)
+    per, classes, few = mixing.plan(sized)
     chance = {(c["s_source"], c["s_digits"]): c["p"] for c in classes.collect()}
     p = [chance["a", d] / d for d in (2, 3, 4, 5, 6)]
     assert max(p) - min(p) < 1e-12 and 0 < p[0] < 1 / 6
     copies = per.where("s_source = 'a'").first()["copies"]
-    for x in mixing._copies(sized, per, classes).where("source = 'a'").groupBy("digits").agg(F.avg(F.col("times") - copies).alias("share"), F.count("*").alias("n")).collect():
+    for x in mixing._copies(sized, per, classes, few).where("source = 'a'").groupBy("digits").agg(F.avg(F.col("times") - copies).alias("share"), F.count("*").alias("n")).collect():
         q = chance["a", x["digits"]]
         assert abs(x["share"] - q) < 4 * math.sqrt(q * (1 - q) / x["n"]) + 0.003
 

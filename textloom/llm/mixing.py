@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import checked_broadcast, cut, id_text
+from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Slices of the rank, and of each slice.
@@ -26,6 +26,8 @@ SLICES = 1 << 10
 CLOSING = 4
 #: More sources than these are numbered and summed up over the cluster, not in one task.
 SOURCES = 100_000
+#: Rows of sources, or of their size classes (64 each at most), that are broadcast: 100 bytes each.
+BROADCAST_ROWS = 500_000
 CAP = 3
 
 
@@ -43,9 +45,8 @@ def digits(size: Column) -> Column:
     return F.length(F.bin(size)).cast("long")
 
 
-def _before(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
-    """df with, for each name, the sum of its column over the rows that stand before in an order, which is total."""
-    many = df.count() > SOURCES
+def _before(df: DataFrame, many: bool, order: list[Column], **sums: Column) -> DataFrame:
+    """df with, for each name, the sum of its column over the rows that stand before in an order, which is total; many: over the cluster."""
     if many:
         df = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
         parts = df.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])  # a row for each partition
@@ -64,8 +65,9 @@ def targets(sized: DataFrame, cap: int = CAP) -> DataFrame:
     by_name = [F.col("source").isNull(), F.col("source").cast("binary")]
     # one row a source from here on
     sums = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    ranked = _before(sums, by_name, place=F.lit(1)).select("source", "source_size", (F.col("place") % 3 + 1).alias("weight"))
-    ranked = _before(ranked, [F.col("source_size") / F.col("weight"), *by_name], size_before=F.col("source_size"), weight_before=F.col("weight"))
+    many = sums.count() > SOURCES
+    ranked = _before(sums, many, by_name, place=F.lit(1)).select("source", "source_size", (F.col("place") % 3 + 1).alias("weight"))
+    ranked = _before(ranked, many, [F.col("source_size") / F.col("weight"), *by_name], size_before=F.col("source_size"), weight_before=F.col("weight"))
     ranked = cut(ranked)
     words, weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
     left_words, left_weight = F.lit(words) - cap * F.col("size_before"), F.lit(weights) - F.col("weight_before")
@@ -79,20 +81,20 @@ def _same_source(a: str = "source", b: str = "s_source") -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
-def _attach(rows: DataFrame, per: DataFrame, how: str = "inner") -> DataFrame:
-    """rows with what per says of their source (and size class, where per has one); per: few rows, of a checked number."""
+def _attach(rows: DataFrame, per: DataFrame, few: bool, how: str = "inner") -> DataFrame:
+    """rows with what per says of their source (and size class, where per has one); few: per may be broadcast."""
     on = _same_source()
     if "s_digits" in per.columns:
         on = on & (F.col("digits") == F.col("s_digits"))
-    return rows.join(checked_broadcast(per, 500_000), on, how).drop("s_source", "s_digits")  # 100 bytes a row
+    return rows.join(F.broadcast(per) if few else per, on, how).drop("s_source", "s_digits")
 
 
-def chances(per: DataFrame, sizes: DataFrame) -> DataFrame:
+def chances(per: DataFrame, sizes: DataFrame, few: bool = False) -> DataFrame:
     """s_source, s_digits, p (inclusion probability, 1 for certain documents), left (words to be drawn beside the certain ones).
 
     per: source, budget; sizes: source, digits, words (a row for each size class of each source).
     """
-    both = sizes.join(checked_broadcast(per.select(F.col("source").alias("s_source"), "budget")), _same_source()).drop("s_source")
+    both = _attach(sizes, per.select(F.col("source").alias("s_source"), "budget"), few)
     down = W.partitionBy("source").orderBy(F.desc("digits")).rowsBetween(W.unboundedPreceding, -1)
     up = W.partitionBy("source").orderBy("digits").rowsBetween(W.unboundedPreceding, 0)
     both = both.withColumn("above", F.coalesce(F.sum("words").over(down), F.lit(0))).withColumn("factor", (F.col("budget") - F.col("above")) / F.sum(F.col("digits") * F.col("words")).over(up))
@@ -112,8 +114,8 @@ def _edge(rows: DataFrame, slice_: Column, before: Column) -> DataFrame:
     return cut(sums.where((F.col("before") <= F.col("left")) & (F.col("before") + F.col("words") > F.col("left"))).select(F.col("source").alias("s_source"), F.col("slice").alias("edge"), "before"))
 
 
-def plan(sized: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
-    """(a row a source: s_source, source_size, target, copies, edge, last, extra; a row a size class: s_source, s_digits, p, left).
+def plan(sized: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame, bool]:
+    """(a row a source: s_source, source_size, target, copies, edge, last, extra; a row a size class: s_source, s_digits, p, left; whether both may be broadcast).
 
     A document is drawn if it is certain, its slice is before edge, its key in that slice is not after last, or it is one of extra.
     sized: source, size, u, doc (id as text), digits.
@@ -121,14 +123,14 @@ def plan(sized: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     per = targets(sized, cap)
     per = per.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     per = cut(per.withColumn("budget", F.col("target") - F.col("copies") * F.col("source_size")))
-    some = sized.where("size > 0")
-    classes = cut(chances(per, some.groupBy("source", "digits").agg(F.sum("size").alias("words"))))
+    some, few = sized.where("size > 0"), 64 * per.count() <= BROADCAST_ROWS
+    classes = cut(chances(per, some.groupBy("source", "digits").agg(F.sum("size").alias("words")), few))
     # documents larger than what is to be drawn can't be part of it
-    can = _attach(some.select("source", "size", "u", "doc", "digits"), classes).where(_open()).withColumn("q", _rank()).withColumn("slice", _slice())
+    can = _attach(some.select("source", "size", "u", "doc", "digits"), classes, few).where(_open()).withColumn("q", _rank()).withColumn("slice", _slice())
     coarse = _edge(can, F.shiftright("slice", SLICES.bit_length() - 1), F.lit(0))
-    inner = _attach(can, coarse).where(F.shiftright("slice", SLICES.bit_length() - 1) == F.col("edge")).drop("edge")
+    inner = _attach(can, coarse, few).where(F.shiftright("slice", SLICES.bit_length() - 1) == F.col("edge")).drop("edge")
     fine = _edge(inner, F.col("slice"), F.col("before"))
-    inner = _attach(can, fine).where("slice = edge")
+    inner = _attach(can, fine, few).where("slice = edge")
     upto = F.col("before") + F.sum("size").over(W.partitionBy("source").orderBy("q", "doc", "size"))
     fits = inner.withColumn("upto", upto).where("upto <= left").groupBy("source").agg(F.max(F.struct("q", "doc", "size")).alias("last"), F.max("upto").alias("upto"))
     whole = can.groupBy("source").agg(F.sum("size").alias("all"), F.first("left").alias("left"))
@@ -137,7 +139,7 @@ def plan(sized: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     ends = ends.join(fits, _same_source(), "left").select("s_source", F.coalesce("edge", F.lit(SLICES * SLICES)).alias("edge"), "last", (F.col("left") - F.coalesce("upto", "before", "all")).alias("gap"))
     ends = cut(ends)
     # closing documents: the smallest in each of CLOSING parts of each size class that are not drawn, the larger first, as they fit the gap
-    rest = _attach(can, ends).where(~_in_prefix() & (F.col("size") <= F.col("gap")))
+    rest = _attach(can, ends, few).where(~_in_prefix() & (F.col("size") <= F.col("gap")))
     best = rest.groupBy("source", "gap", "digits", F.floor(F.col("u") * CLOSING)).agg(F.min(F.struct("size", "q", "doc")).alias("b"))
     each = F.sort_array(F.collect_list("b"), asc=False)
     none = F.struct(F.col("gap"), F.array().cast("array<struct<q:double,doc:string,size:bigint>>").alias("extra"))
@@ -145,7 +147,7 @@ def plan(sized: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:
     extra = best.groupBy("source", "gap").agg(each.alias("b")).select("source", F.aggregate("b", none, take)["extra"].alias("extra"))
     ends = ends.join(extra, _same_source(), "left").select("s_source", "edge", "last", "extra")
     per = per.join(ends, _same_source(), "left").select(F.col("source").alias("s_source"), "source_size", "target", "copies", F.coalesce("edge", F.lit(0)).alias("edge"), "last", F.coalesce("extra", F.array().cast("array<struct<q:double,doc:string,size:bigint>>")).alias("extra"))
-    return cut(per), classes
+    return cut(per), classes, few
 
 
 def _open() -> Column:
@@ -165,9 +167,9 @@ def _in_prefix() -> Column:
     return (F.col("slice") < F.col("edge")) | F.coalesce((F.col("slice") == F.col("edge")) & (F.struct("q", "doc", "size") <= F.col("last")), F.lit(False))
 
 
-def _copies(rows: DataFrame, per: DataFrame, classes: DataFrame) -> DataFrame:
+def _copies(rows: DataFrame, per: DataFrame, classes: DataFrame, few: bool) -> DataFrame:
     """rows (source, size, u, doc, digits and more) with times: how often the mix takes each, and the columns of their source."""
-    rows = _attach(_attach(rows, classes, "left"), per).withColumn("q", F.when(_open(), _rank())).withColumn("slice", _slice())
+    rows = _attach(_attach(rows, classes, few, "left"), per, few).withColumn("q", F.when(_open(), _rank())).withColumn("slice", _slice())
     drawn = F.coalesce(F.col("p") >= 1, F.lit(False)) | F.col("q").isNotNull() & (_in_prefix() | F.array_contains("extra", F.struct("q", "doc", "size")))
     return rows.withColumn("times", F.col("copies") + F.coalesce(drawn, F.lit(False)).cast("long"))
 
