@@ -265,3 +265,42 @@ def test_patterns_present(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = df.orderBy("i").select(scoring.present(F.col("text"), R.CODE_MARKERS), scoring.present(F.col("text"), R.MINIFIED_TOKENS)).collect()
     assert [tuple(r) for r in got] == [(sum(p in t for p in R.CODE_MARKERS), sum(p in t for p in R.MINIFIED_TOKENS)) for t in texts]
+
+
+def test_reports_of_each_kind(spark, tmp_path):
+    src = 'a("one thing"); b(\'one thing\\n\'); c(`see ${x} there`); one thing; d("two")'
+    sources = spark.createDataFrame([(1, src)], "id long, source string")
+    lits = L.literals(sources, "id", "source")
+    entries = spark.createDataFrame([(1, "one thing", "eine Sache", False), (2, "see ${x} there", "dort ${x}", False), (3, "thing;", "x", False), (4, "nowhere", "x", False), (5, "a ${y}", "b", False), (6, "two", 'zw"ei', False)], "key_id long, src string, dst string, allow_reorder boolean")
+    parts = audit.replacement_report(sources, lits, entries)
+    # key 1 is a whole literal, so its other places are not looked for
+    assert parts["totals"].first().asDict() == {"hits": 3, "nested": 0, "misses": 1, "skips": 1, "placeholder_violations": 1, "conflicts": 0, "delta": (10 - 9) + (9 - 14) + (6 - 3)}
+    assert rows(parts["missed"]) == [(4, "nowhere")] and parts["violations"].first()["src_placeholders"] == ["${y}"]
+    s = parts["skipped"].first()
+    assert (s["key_id"], s["pos"]) == (3, src.index("thing;")) and s["context"] == src[s["pos"] - 30 : s["pos"] + 36]
+    reports.write_report(str(tmp_path / "r"), **parts)
+    assert spark.read.json(str(tmp_path / "r/totals")).first()["misses"] == 1
+
+    found = spark.createDataFrame([("rec1.sys[0]", "keep the word\n- a:b:c gone"), ("rec1.tool[0:mcp__x].description", "outside"), ("rec2.sys[0]", "the")], "label string, text string")
+    parts = coverage.capture_report(found, ["the"], [], [])
+    assert parts["totals"].first().asDict() == {"total_segments": 3, "external_segments": 1, "stripped_lines": 1, "segments_with_residual": 1, "words": 2, "distinct_words": 2}
+    assert rows(parts["by_label"]) == [("rec1.sys[0]", ["keep", "word"], ["keep", "word"])] and rows(parts["tokens"]) == [("keep", 1), ("word", 1)]
+
+    lits = groups.mixed_templates(groups.array_groups(L.literals(spark.createDataFrame([(1, "a('You must not go there');b('You must do it');c('x y z')")], "id long, source string"), "id", "source"), "id"), "id")
+    cands = coverage.candidates(lits, coverage.covered(lits, spark.createDataFrame([("You must do it",)], "src string")), F.lit(False), min_score=1)
+    parts = coverage.diff_report(cands, min_score=1)
+    assert parts["totals"].select("total", "translated", "untranslated", "min_score").first() == (2, 1, 1, 1)
+    assert rows(parts["scores"]) == [(5, 1)] and [r["text"] for r in parts["top"].collect()] == ["You must not go there"]
+
+
+def test_coverage_by_a_dictionary(spark):
+    texts = ["whole key", "say ${v} now", "say ${w} now", "a long piece here", "short", "before this is a key of twenty more after", "so see ${v} in a long enough key", "other"]
+    lits = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "id long, start_off long, text string")
+    keys = spark.createDataFrame([("whole key",), ("say ${__A__} now",), ("a long piece here${x}short",), ("this is a key of twenty more",), ("see ${__A__} in a long enough key",)], "src string")
+    got = {texts[r["start_off"]]: (r["exact"], r["partial"]) for r in coverage.covered(lits, keys, {"__A__": ["${v}", "${w}"]}).collect()}
+    assert got == {"whole key": (True, False), "say ${v} now": (True, False), "say ${w} now": (True, False), "a long piece here": (True, False), texts[5]: (False, True), texts[6]: (False, True)}
+
+
+def test_legacy_breakdown(spark):
+    b = spark.createDataFrame([("# You are to use it. Never stop!",)], "t string").select(scoring.legacy_breakdown(F.col("t")).alias("b")).first()["b"]
+    assert (b["len"], b["words"], b["md_title"], b["keyword_hits"]) == (32, 7, True, 2) and b["period_density"] == round(2 / 32, 3)

@@ -134,6 +134,16 @@ def forms(text: Column) -> Column:
     return f(text)
 
 
+def encoded(text: Column, kind: Column) -> Column:
+    """encode of a column as the kind of literal that another names."""
+
+    @F.pandas_udf("string")
+    def f(t: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else encode(s, x) for s, x in zip(t, k, strict=True)], dtype=object)
+
+    return f(text, kind)
+
+
 def literals(df: DataFrame, key: str, source: str) -> DataFrame:
     """key, start_off, end_off, lit_type, text, gap for each literal of each source (a string or binary column).
 

@@ -102,6 +102,13 @@ def legacy_features(text: Column) -> dict[str, Column]:
     }
 
 
+def legacy_breakdown(text: Column) -> Column:
+    """What the older scorer looks at, as a struct; densities and means to three places."""
+    f = legacy_features(text)
+    thirds = ("stop_density", "avg_word_len", "period_density")
+    return F.struct(F.char_length(text).alias("len"), *[F.bround(c, 3).alias(k) if k in thirds else c.alias(k) for k, c in f.items()])
+
+
 def legacy_score(text: Column) -> Column:
     """The older scorer: eleven cumulative rules; a text without words scores 0."""
     f, n = legacy_features(text), F.char_length(text)

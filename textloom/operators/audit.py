@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import literals as L
 from ..functions.text import placeholders, placeholders_safe, preview
 from . import matching
 
@@ -60,6 +61,33 @@ def by_source(sources: DataFrame, lits: DataFrame, entries: DataFrame) -> tuple[
     return rows, totals.withColumn("high_risk", F.col("risk_b") + F.col("risk_c") + F.col("risk_d") + F.col("risk_e"))
 
 
+def replacement_report(sources: DataFrame, lits: DataFrame, entries: DataFrame, context: int = 30) -> dict[str, DataFrame]:
+    """Parts of a report on matching.replacements(): totals, missed, skipped, violations and conflicts.
+
+    totals: hits, misses (entries that hit nothing), skips (occurrences in code, with context bytes around them),
+    placeholder_violations, nested (hits within others, which are not replaced), conflicts and delta, the bytes by which
+    sources grow. Arguments as for matching.replacements().
+    """
+    hits = matching.replacements(sources, lits, entries)
+    replaced = matching.overlaps(hits.where("kind <> 'code'"))
+    has = F.size(placeholders(F.col("src"))) > 0
+    bad = entries.where(has & ~placeholders_safe(F.col("src"), F.col("dst"), F.col("allow_reorder")))
+    missed = entries.join(bad.select("key_id"), "key_id", "left_anti").join(hits.select("key_id").distinct(), "key_id", "left_anti").select("key_id", "src")
+    around = F.substring(matching.as_bytes(F.col("source")), F.greatest(F.lit(1), F.col("pos") + 1 - context).cast("int"), (F.col("len") + F.least(F.lit(context), F.col("pos")) + context).cast("int"))
+    skipped = hits.where("kind = 'code'").join(sources.toDF("id", "source"), "id").select("id", "key_id", "pos", "lit_type", F.encode(around, "ISO-8859-1").cast("string").alias("context"))
+    written = replaced.where("NOT nested").join(entries.select("key_id", "dst"), "key_id").select((F.octet_length(L.encoded(F.col("dst"), F.col("lit_type"))) - F.col("len")).alias("delta"))
+    pairs = conflicts(replaced.select("id", "key_id", "pos", "len")).where("pos1 < pos2")
+    one = [
+        replaced.agg(F.count("*").alias("hits"), F.count_if("nested").alias("nested")), missed.agg(F.count("*").alias("misses")), skipped.agg(F.count("*").alias("skips")),
+        bad.agg(F.count("*").alias("placeholder_violations")), pairs.agg(F.count("*").alias("conflicts")), written.agg(F.coalesce(F.sum("delta"), F.lit(0)).cast("long").alias("delta")),
+    ]
+    totals = one[0]
+    for x in one[1:]:
+        totals = totals.crossJoin(x)  # one row each
+    violations = bad.select("key_id", "src", placeholders(F.col("src")).alias("src_placeholders"), placeholders(F.col("dst")).alias("dst_placeholders"), "allow_reorder")
+    return {"totals": totals, "missed": missed, "skipped": skipped, "violations": violations, "conflicts": pairs}
+
+
 def conflicts(hits: DataFrame, by: str = "id", block: int = 4096) -> DataFrame:
     """Pairs of hits of a source of which one begins inside the other and ends after it (of equal starts the shorter is the other).
 

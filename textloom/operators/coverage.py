@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules as R
 from ..functions import scoring
+from ..functions import text as text_rules
+from . import catalog, matching
 
 
 def status(exact: Column, partial: Column, text: Column, whitelisted: Column) -> Column:
@@ -59,6 +61,51 @@ def candidates(lits: DataFrame, covered: DataFrame, white: Column, min_score: in
     ).withColumns({"translated": F.col("status").isin("exact", "partial", "han"), "whitelisted": F.col("status") == "whitelisted"})
 
 
+def covered(lits: DataFrame, keys: DataFrame, variables: dict[str, list[str]] | None = None, least: int = 20) -> DataFrame:
+    """id, start_off, exact, partial of literals (id, start_off, text) that a dictionary's keys (src) cover.
+
+    exact: the text is a key, a key with the k-th variables of its sentinels, or a piece of 8 characters or more between
+    a key's placeholders. partial: a key of least characters or more stands in the text, as it is or with first variables.
+    """
+    keys = keys.select("src").distinct()
+    whole = keys
+    if variables:
+        known = keys.sparkSession.createDataFrame([(n, v) for n, v in variables.items()], "name string, vars array<string>")
+        made = catalog.expand_sentinels(keys.select(F.col("src").alias("entry"), "src", F.col("src").alias("dst")), known, strict=False)
+        whole = keys.union(made.select("src"))
+    exact = whole.union(whole.select(F.explode(text_rules.fragments(F.col("src"))))).toDF("text").distinct().withColumn("exact", F.lit(True))
+    long_ = keys.union(keys.select(catalog.first_instances(F.col("src"), variables or {}))).distinct().select("src", F.col("src").alias("key"))
+    part = matching.contained(lits.select(F.struct("id", "start_off").alias("at"), "text"), long_, least).select("id.id", "id.start_off").distinct().withColumn("partial", F.lit(True))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    both = lits.join(exact, "text", "left").join(part, ["id", "start_off"], "left")
+    return both.select("id", "start_off", yes("exact"), yes("partial")).where("exact OR partial")
+
+
+def diff_report(found: DataFrame, min_score: int = 2, k: int = 50) -> dict[str, DataFrame]:
+    """Parts of a report on candidates() from a score: totals, scores (of what nothing covers) and top."""
+    rows = found.where(F.col("class").isNotNull() & (F.col("score") >= min_score))
+    left = rows.where(~F.col("translated") & ~F.col("whitelisted"))
+    return {
+        "totals": summary(rows).withColumn("min_score", F.lit(min_score)), "scores": left.groupBy("score").agg(F.count("*").alias("n")).orderBy(F.desc("score")),
+        "top": top(left.select("id", "offset", "len", "score", "class", "evidence", "text"), F.desc("score"), F.asc("id"), F.asc("offset"), k=k),
+    }
+
+
+def capture_report(found: DataFrame, exact: list[str], regex: list[str], literal_exact: list[str], show: int = 20, external: str = "mcp__") -> dict[str, DataFrame]:
+    """Parts of a report on captured segments (label, text): totals, by_label and tokens.
+
+    Segments of external tools are counted and left out, registration lines are counted and taken out, and what the white
+    list does not cover is told by label and in all.
+    """
+    own = found.where(~F.contains("label", F.lit(external)))
+    rest, lines = text_rules.strip_dynamic_lines(F.col("text"))
+    words = own.select("label", lines.alias("lines"), text_rules.residual(rest, exact, regex, literal_exact).alias("words"))
+    by, totals = residual_report(words, show)
+    outside = found.agg(F.count("*").alias("total_segments"), F.count_if(F.contains("label", F.lit(external))).alias("external_segments"))
+    stripped = words.agg(F.coalesce(F.sum("lines"), F.lit(0)).cast("long").alias("stripped_lines"))
+    return {"totals": outside.crossJoin(stripped).crossJoin(totals.drop("segments")), "by_label": by, "tokens": words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))}  # one row each
+
+
 def counters(found: DataFrame) -> DataFrame:
     """One row of ten counts over candidates()."""
     is_ = lambda c: F.col("class") == c
