@@ -57,7 +57,7 @@ def score_rules(text: Column, sdk: list[str] = (), errors: list[str] = (), brows
     conditions = {
         "markdown_heading": heading, "starts_with_You": text.rlike(R.ADDRESS), "imperative_marker": imperative, "has_placeholder": text.rlike(R.VARIABLE),
         "stop_words": stops >= 3, "xml_tags": text.rlike(R.TAGS), "long": n >= 200, "medium": (n >= 80) & (n < 200), "has_han": text.rlike(R.HAN),
-        "desc_verb_lead": (n >= 60) & (stops >= 3) & F.regexp_extract(text, r"^\s*([A-Za-z]+)", 1).isin(R.DESCRIPTION_VERBS) & ~heading,
+        "desc_verb_lead": (n >= 60) & (stops >= 3) & F.regexp_extract(text, r"(?U)^\s*([A-Za-z]+)", 1).isin(R.DESCRIPTION_VERBS) & ~heading,
         "prose_structure": (n >= 160) & (stops >= 8) & (marks >= 6) & (marks >= 0.045 * F.greatest(words, F.lit(1))),
         "url": bare.rlike(R.URL), "path": bare.rlike(R.PATH), "identifier": bare.rlike(R.IDENTIFIER), "no_words": words == 0,
         "js_code": present(text, R.CODE_MARKERS) >= 2, "js_punct_lead": bare.rlike(R.CODE_LEAD),

@@ -128,7 +128,7 @@ def round_robin(items: DataFrame, n: int, lead: Column, *ties: str) -> DataFrame
 
 def sentinels_in(text: Column, declared: list[str]) -> Column:
     """Declared sentinel names in text, each once, in the order they are first seen."""
-    return F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{(__[A-Z0-9_]+__)\}"), F.lit(1))), F.array(*[F.lit(n) for n in declared]))
+    return F.array_intersect(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{([\w.$]+)\}"), F.lit(1))), F.array(*[F.lit(n) for n in declared]))
 
 
 def resolve(buffers: DataFrame, declared: list[tuple[str, str, str]]) -> DataFrame:
