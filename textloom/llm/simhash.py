@@ -264,7 +264,8 @@ def links(met: DataFrame, radius: int, similarity: float | None = None) -> DataF
             return int(new[-1]) + 1 if len(new) else 0
 
         for b in batches:
-            held.append(b)
+            if b.num_rows:
+                held.append(b)
             if sum(x.num_rows for x in held) >= 50_000 or sum(x.nbytes for x in held) >= 64 << 20:
                 t = pa.Table.from_batches(held)
                 if n := whole(t):
