@@ -194,7 +194,7 @@ def _met_by_blocks(items: DataFrame, radius: int) -> DataFrame:
         hot_keys = count.where(hot).select("key")
         if not hot_keys.take(1):
             return out
-        level = cut(level.join(hot_keys, "key").select("id", "fp", "path"))
+        level = cut(level.join(checked_broadcast(hot_keys), "key").select("id", "fp", "path"))
 
 
 def _links_by_bands(items: DataFrame, sets: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -207,16 +207,17 @@ def _links_by_bands(items: DataFrame, sets: DataFrame, radius: int, similarity:
     wide = count.where("parts > 1").select("key", "parts")
     if not wide.take(1):
         return out
-    wide = cut(rows.join(wide, "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
+    # wide shards are few: joined by broadcast, their rows stay where they are
+    wide = cut(rows.join(checked_broadcast(wide), "key").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")))
     every = F.sequence(F.lit(0), F.col("parts") - 1)
     task = lambda *of: F.xxhash64("key", *of).alias("key")
     met = wide.select("id", "fp", "rid", "key", F.explode(F.when(F.col("part") == 0, every).otherwise(F.array("part"))).alias("to"))
     first = cut(find(met.select("id", "fp", "rid", task("to"))))
     wide = cut(wide.join(connected(first), "id", "left").withColumn("root", F.coalesce("root", "id")))
     largest = wide.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("largest"))
-    both = wide.join(largest, "key").withColumn("out", F.col("root") != F.col("largest"))
-    blocks = both.where("out").groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks"))
-    both = both.join(blocks, "key")
+    both = wide.join(checked_broadcast(cut(largest)), "key").withColumn("out", F.col("root") != F.col("largest"))
+    blocks = cut(both.where("out").groupBy("key").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("blocks")))
+    both = both.join(checked_broadcast(blocks), "key")
     as_row = both.select("id", "fp", "rid", "key", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     as_query = both.where("out").select("id", "fp", "rid", "key", F.explode(every).alias("part"), F.pmod(F.xxhash64("rid", F.lit(1)), F.col("blocks")).cast("int").alias("block"))
     second = find(as_row.union(as_query).select("id", "fp", "rid", task("block", "part")).distinct())
