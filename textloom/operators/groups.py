@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import rules as R
+from ..functions.text import strip
 
 
 def islands(df: DataFrame, joined: Column, by: str, name: str) -> DataFrame:
@@ -34,5 +35,5 @@ def mixed_templates(lits: DataFrame, by: str, least: int = 8) -> DataFrame:
     """Adds mixed: a template of two fragments or more holds Han script, this one does not, and it has words and least characters."""
     group = W.partitionBy(by, "template_group")
     has = F.max(F.col("text").rlike(R.HAN).cast("int")).over(group) == 1
-    own = ~F.col("text").rlike(R.HAN) & (F.char_length(F.trim("text")) >= least) & F.col("text").rlike("[A-Za-z']{2,}")
+    own = ~F.col("text").rlike(R.HAN) & (F.char_length(strip(F.col("text"))) >= least) & F.col("text").rlike("[A-Za-z']{2,}")
     return template_groups(lits, by).withColumn("mixed", F.coalesce((F.count("*").over(group) >= 2) & has & own, F.lit(False)))

@@ -38,6 +38,37 @@ def _literals(spark, d):
     return sources, L.literals(sources, "id", "source")
 
 
+def _escaped(column, marks: str):
+    """A text as the contents of a literal in which marks are escaped, and line breaks too."""
+    for c in ("\\", *marks):
+        column = F.replace(column, F.lit(c), F.lit("\\" + c))
+    return F.replace(column, F.lit("\n"), F.lit("\\n"))
+
+
+@query
+def array_islands(spark, d):
+    """Each conversation as arrays of literals, each from one user's turn to the next: how many literals each array has."""
+    turn = F.struct("turn", "role", _escaped(F.col("text"), '"').alias("text"))
+    start = F.struct(F.lit("a=[").alias("source"), F.lit("").alias("role"))
+    gap = lambda a, x: F.when(a["role"] == "", "").when(x["role"] != "user", ", \n").otherwise("];b=[")
+    add = lambda a, x: F.struct(F.concat(a["source"], gap(a, x), F.lit('"'), x["text"], F.lit('"')).alias("source"), x["role"].alias("role"))
+    sources = conversations(spark, d).groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    sources = sources.select("id", F.concat(F.aggregate("t", start, add)["source"], F.lit("]")).alias("source"))
+    lits = groups.array_groups(L.literals(sources, "id", "source"), "id")
+    return lits.groupBy(F.col("id").alias("conv_id"), F.col("array_group").alias("island")).agg(F.max("group_size").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+@query
+def template_islands(spark, d):
+    """Each document as a template with an interpolation for each space, and a fragment in Han script at the end of some."""
+    han = F.when(F.contains("text", F.lit("th")), F.lit("${v}你好")).otherwise(F.lit(""))
+    body = F.replace(_escaped(F.col("text"), "`$"), F.lit(" "), F.lit("${v}"))
+    sources = documents(spark, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("t=`"), body, han, F.lit("`;u=`x`")).alias("source"))
+    lits = groups.mixed_templates(L.literals(sources, "id", "source"), "id")
+    per = lits.groupBy("id", "template_group").agg(F.count("*").alias("n"), F.count_if("mixed").alias("mixed"))
+    return per.groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("groups"), F.max("n").alias("largest"), F.sum("mixed").alias("mixed"))
+
+
 @query
 def literal_texts(spark, d):
     _, lits = _literals(spark, d)
@@ -138,6 +169,11 @@ ORACLES |= {
     "literal_round_trip": r"""WITH e AS (SELECT doc_id, replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r') AS t FROM documents)
         SELECT doc_id, md5(replace(replace(t, '"', '\"'), chr(10), '\n')) AS dq, md5(replace(replace(t, '''', '\'''), chr(10), '\n')) AS sq, md5(replace(replace(t, '`', '\`'), '$', '\$')) AS tmpl_frag, true AS same FROM e""",
     "literal_texts": r"""SELECT doc_id, 'dq' AS lit_type, md5(text) AS digest, CAST(strlen(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n')) AS BIGINT) AS bytes FROM documents""",
+    "array_islands": """WITH c AS (SELECT *, CASE WHEN role = 'user' OR row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 1 ELSE 0 END AS f FROM conversations),
+        i AS (SELECT *, sum(f) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c) SELECT conv_id, CAST(island AS BIGINT) AS island, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM i GROUP BY conv_id, island""",
+    "template_islands": """WITH p AS (SELECT doc_id, contains(text, 'th') AS han, list_filter(string_split(text, ' '), lambda x: x <> '') AS p FROM documents),
+        n AS (SELECT doc_id, len(p) + CAST(han AS INT) AS n, CASE WHEN han THEN len(list_filter(p, lambda x: length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) >= 8 AND regexp_matches(x, '[A-Za-z'']{2,}'))) ELSE 0 END AS mixed FROM p)
+        SELECT doc_id, CAST(1 + (n > 0)::INT AS BIGINT) AS groups, CAST(greatest(n, 1) AS BIGINT) AS largest, CAST(mixed AS BIGINT) AS mixed FROM n""",
     "extract_counters": f"""WITH {_scored_sql()}, {_status_sql()}, b AS (SELECT CASE WHEN score >= 5 THEN 'prompt' WHEN score >= 3 THEN 'weak' ELSE 'skip' END AS class, status FROM scored JOIN st USING (doc_id))
         SELECT count(*) AS total_literals, count(*) AS decoded_ok, count(*) FILTER (class = 'prompt') AS scored_prompt, count(*) FILTER (class = 'weak') AS scored_weak, count(*) FILTER (class = 'skip') AS scored_skip,
         count(*) FILTER (class <> 'skip' AND status IN ('exact', 'partial', 'han')) AS translated, count(*) FILTER (class <> 'skip' AND status = 'whitelisted') AS whitelisted,
