@@ -13,8 +13,7 @@ from . import fixtures as X
 from .queries import _LEGACY, _PH, ORACLES, _hits_sql, _keys, _quoted, _residual_sql, _rows, _scored, _scored_sql, _status, _status_sql, _values, conversations, documents, query
 
 _PAIRS = "key_id long, src string, dst string, allow_reorder boolean"
-#: Without the key that holds a line break, which stands escaped in a literal.
-_ENTRIES = [(i, k, k.upper(), True) for i, k in enumerate(X.KEYS) if "\n" not in k] + [(100 + i, *rest) for i, *rest in X.PAIRS]
+_ENTRIES = [(i, k, k.upper(), True) for i, k in enumerate(X.KEYS)] + [(100 + i, *rest) for i, *rest in X.PAIRS]
 
 
 @query
@@ -98,9 +97,12 @@ def replacement_plan(spark, d):
 
 @query
 def literal_audit(spark, d):
-    """Risks of a small dictionary by the spans of literals."""
-    sources, lits = _literals(spark, d)
-    return audit.by_source(sources, lits, _values(spark, _ENTRIES, _PAIRS))[1]
+    """Risks of a small dictionary by the spans of literals; each document is a template, in which line breaks stand as they are."""
+    body = F.col("text")
+    for c in "\\`$":
+        body = F.replace(body, F.lit(c), F.lit("\\" + c))
+    sources = documents(spark, d).select(F.col("doc_id").alias("id"), F.concat(F.lit("p(`"), body, F.lit("`);")).alias("source"))
+    return audit.by_source(sources, L.literals(sources, "id", "source"), _values(spark, _ENTRIES, _PAIRS))[1]
 
 
 @query
