@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import narrow_batches  # noqa: F401
+
 #: A side with at most this many (short) rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -46,16 +48,5 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.crc32(id_text(column).cast("binary")) % modulus
 
 
-def narrow_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
-    """Smaller Arrow batches, in rows and bytes: a batch of long texts then fits a Python worker.
-
-    Plans read these settings when they run, so they stay set; a caller's own smaller ones are kept.
-    """
-    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
-        now = (spark.conf.get(f"spark.sql.execution.arrow.{name}") or "0").removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
-
-
 def cores(spark: SparkSession) -> int:
     return max(2, spark.sparkContext.defaultParallelism)

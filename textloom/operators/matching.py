@@ -11,9 +11,12 @@ from pyspark.sql.window import Window as W
 
 from ..functions import literals as L
 from ..functions.text import placeholders, placeholders_safe
+from ..sources.tables import narrow_batches
 
 #: Keys in one automaton; a larger dictionary is searched in several, one after the other, so what is broadcast stays bounded.
 KEYS_AT_ONCE = 50_000
+#: Hits that a Python worker holds before it hands them on.
+HITS_AT_ONCE = 50_000
 
 
 def exact(texts: DataFrame, keys: DataFrame, text: str = "text", key: str = "key") -> DataFrame:
@@ -22,7 +25,8 @@ def exact(texts: DataFrame, keys: DataFrame, text: str = "text", key: str = "key
 
 
 def _search(texts: DataFrame, keys: list[tuple[object, str]], key_type: str, first_only: bool) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(keys)
+    narrow_batches(texts.sparkSession)
+    shared, most = texts.sparkSession.sparkContext.broadcast(keys), HITS_AT_ONCE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -33,8 +37,15 @@ def _search(texts: DataFrame, keys: list[tuple[object, str]], key_type: str, fir
         machine.make_automaton()
         ids = [k for k, _ in shared.value]
         size = [len(s) for _, s in shared.value]
+
+        def hits(ids: pa.Array) -> pa.RecordBatch:
+            columns = [ids.take(pa.array(row, pa.int64())), *[pa.array(c, t) for c, t in zip((key, pos, length), kinds[1:], strict=True)]]
+            for c in (row, key, pos, length):
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, ["id", "key_id", "pos", "len"])
+
+        row, key, pos, length = [], [], [], []
         for b in batches:
-            row, key, pos, length = [], [], [], []
             for i, t in enumerate(b.column(1)):
                 seen = set()
                 for end, found in machine.iter(t.as_py() or "") if len(machine) else ():
@@ -46,7 +57,10 @@ def _search(texts: DataFrame, keys: list[tuple[object, str]], key_type: str, fir
                         key.append(ids[k])
                         pos.append(end - size[k] + 1)
                         length.append(size[k])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(key, kinds[1]), pa.array(pos, pa.int64()), pa.array(length, pa.int64())], ["id", "key_id", "pos", "len"])
+                    if len(row) >= most:
+                        yield hits(b.column(0))
+            if row:
+                yield hits(b.column(0))
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
