@@ -1,6 +1,14 @@
 """Steps whose memory or time must not grow faster than the input: what they hand on, join and evaluate."""
 
+import os
+
+import pytest
+
 from textloom.operators import matching
+from textloom.plans import queries as P
+
+DATA = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -13,3 +21,13 @@ def test_hits_are_handed_on_in_bounded_batches(spark, monkeypatch):
     found = sorted(map(tuple, matching.occurrences(texts, keys).collect()))
     assert found == [(1, 1, 0, 2), (1, 1, 1, 2), (1, 1, 2, 2), (2, 2, 0, 1), (4, 1, 0, 2), (4, 2, 3, 1)]
     assert int(spark.conf.get(BATCH)) <= 1000
+
+
+def plan(df, part="optimizedPlan"):
+    return getattr(df._jdf.queryExecution(), part)().toString()
+
+
+@needs_tables
+def test_hits_are_counted_before_they_are_joined(spark):
+    joined = plan(P.QUERIES["size_plan"](spark, DATA)).split("Join")[1]
+    assert "Aggregate [key_id" in joined

@@ -27,7 +27,8 @@ def audit_risks(spark, d):
 @query
 def size_plan(spark, d):
     delta = F.octet_length("dst") - F.octet_length("src")
-    return _hits(spark, d).join(_values(spark, _ENTRIES, _PAIRS), "key_id").groupBy("key_id").agg(F.count("*").alias("n"), F.sum(delta).cast("long").alias("delta"))
+    hits = _hits(spark, d).groupBy("key_id").agg(F.count("*").alias("hits"))  # counted before the join, which would send all hits of a key to one task
+    return hits.join(_values(spark, _ENTRIES, _PAIRS), "key_id").groupBy("key_id").agg(F.sum("hits").alias("n"), F.sum(F.col("hits") * delta).cast("long").alias("delta"))
 
 
 @query
