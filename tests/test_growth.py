@@ -1,9 +1,11 @@
 """Steps whose memory or time must not grow faster than the input: what they hand on, join and evaluate."""
 
+import hashlib
 import os
 
 import pytest
 
+from textloom.functions import literals as L
 from textloom.operators import matching
 from textloom.plans import queries as P
 
@@ -31,3 +33,15 @@ def plan(df, part="optimizedPlan"):
 def test_hits_are_counted_before_they_are_joined(spark):
     joined = plan(P.QUERIES["size_plan"](spark, DATA)).split("Join")[1]
     assert "Aggregate [key_id" in joined
+
+
+def test_round_trip_holds_one_form_at_a_time(spark):
+    md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+    text = 'a\n"é$`\t\x01😀\\'
+    forms = ('a\\n\\"é$`\\t\\x01😀\\\\', 'a\\n"é$`\\t\\x01😀\\\\', 'a\n"é\\$\\`\\t\\x01😀\\\\')
+    assert L.round_trip(text) == (*map(md5, forms), True)
+    assert L.round_trip("a\r\nb")[3] is False and L.round_trip(None) == (None, None, None, None)
+    assert L.decode("你\\ud83d\\ude00\\ud83dA\\\\u0041".encode()) == "你😀\\ud83dA\\u0041"
+    spark.conf.set(BATCH, "10000")
+    L.literals(spark.createDataFrame([(1, "x")], "id int, source string"), "id", "source")
+    assert int(spark.conf.get(BATCH)) <= 1000
