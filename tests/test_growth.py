@@ -6,7 +6,7 @@ import os
 import pytest
 
 from textloom.functions import literals as L
-from textloom.operators import matching
+from textloom.operators import groups, matching
 from textloom.plans import queries as P
 
 DATA = "/root/testdata/sf0.001"
@@ -45,3 +45,9 @@ def test_round_trip_holds_one_form_at_a_time(spark):
     spark.conf.set(BATCH, "10000")
     L.literals(spark.createDataFrame([(1, "x")], "id int, source string"), "id", "source")
     assert int(spark.conf.get(BATCH)) <= 1000
+
+
+def test_islands_leave_texts_behind(spark):
+    lits = L.literals(spark.createDataFrame([(1, "t=`a${v}你好`")], "id int, source string"), "id", "source")
+    p = plan(groups.mixed_templates(lits, "id").select("id", "template_group", "mixed"))
+    assert p.rindex("Window") < p.index("RLIKE")  # patterns are looked for below the sorts
