@@ -4,8 +4,10 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.functions import literals as L
+from textloom.functions import scoring
 from textloom.operators import groups, matching
 from textloom.plans import queries as P
 
@@ -51,3 +53,14 @@ def test_islands_leave_texts_behind(spark):
     lits = L.literals(spark.createDataFrame([(1, "t=`a${v}你好`")], "id int, source string"), "id", "source")
     p = plan(groups.mixed_templates(lits, "id").select("id", "template_group", "mixed"))
     assert p.rindex("Window") < p.index("RLIKE")  # patterns are looked for below the sorts
+
+
+def test_legacy_counts_are_evaluated_once(spark):
+    p = plan(spark.createDataFrame([("The word.",)], "text string").select(scoring.legacy_score(F.col("text")).alias("s")))
+    assert p.count("[a-zA-Z]+") == 1 and p.count("(?<![a-z])") == 1
+
+
+def test_legacy_score_of_odd_texts(spark):
+    texts = [None, "", "1 2", "# The IMPORTANT.", "K the", "é" * 50 + " the of to", "a." * 60, "You are the one. " * 20]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    assert [r["s"] for r in df.orderBy("i").select(scoring.legacy_score(F.col("text")).alias("s")).collect()] == [0, 0, 0, 10, 2, 5, 11, 13]

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .text import quote, strip
+from .text import let, quote, strip
 
 
 _MARK, _JOINT = r"[(){}=;:\[`/!]", r"[.,][A-Za-z_]"
@@ -90,12 +90,13 @@ def classify(score: Column, group_size: Column | None = None, min_score: int = 3
     return F.when(score >= 5, "prompt").when(score >= min_score, "weak").otherwise("skip")
 
 
-def legacy_features(text: Column) -> dict[str, Column]:
-    words = F.regexp_count(text, F.lit("[a-zA-Z]+"))
-    letters = F.regexp_count(text, F.lit("[a-zA-Z]"))
+def legacy_features(text: Column, words: Column | None = None, stops: Column | None = None) -> dict[str, Column]:
+    """What the older scorer looks at; words and stops: the two counts, where they are known."""
+    words = F.regexp_count(text, F.lit("[a-zA-Z]+")) if words is None else words
+    letters = F.octet_length(F.regexp_replace(text, "[^a-zA-Z]+", ""))
     n = F.char_length(text)
-    stops = F.regexp_count(F.lower(text), F.lit("(?<![a-z])" + _branches(R.LEGACY_STOP_WORDS) + "(?![a-z])"))
-    ends = F.regexp_count(text, F.lit("[.?!]"))
+    stops = F.regexp_count(F.lower(text), F.lit("(?<![a-z])" + _branches(R.LEGACY_STOP_WORDS) + "(?![a-z])")) if stops is None else stops
+    ends = reduce(add, [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in ".?!"])
     return {
         "words": words, "stop_hits": stops, "stop_density": stops / F.greatest(words, F.lit(1)), "avg_word_len": letters / F.greatest(words, F.lit(1)),
         "md_title": text.rlike(r"^\s*#"), "md_bullet": text.rlike(r"^\s*[-*]\s"), "period_density": ends / F.greatest(n, F.lit(1)), "keyword_hits": present(text, R.LEGACY_KEYWORDS),
@@ -111,12 +112,20 @@ def legacy_breakdown(text: Column) -> Column:
 
 def legacy_score(text: Column) -> Column:
     """The older scorer: eleven cumulative rules; a text without words scores 0."""
-    f, n = legacy_features(text), F.char_length(text)
-    rules = [
-        (n >= 40, 1), (n >= 100, 2), (f["stop_hits"] >= 3, 2), (f["stop_hits"] >= 8, 3), (f["stop_density"] >= 0.15, 2), (f["avg_word_len"] >= 4, 1),
-        (f["md_title"], 4), (f["md_bullet"], 2), (f["period_density"] >= 0.005, 1), (f["keyword_hits"] >= 1, 2), (f["keyword_hits"] >= 3, 3),
-    ]
-    return F.when(f["words"] == 0, 0).otherwise(reduce(add, [F.when(c, F.lit(w)).otherwise(F.lit(0)) for c, w in rules]))
+
+    def score(f: Column) -> Column:
+        rules = [
+            (f["n"] >= 40, 1), (f["n"] >= 100, 2), (f["stop_hits"] >= 3, 2), (f["stop_hits"] >= 8, 3), (f["stop_density"] >= 0.15, 2), (f["avg_word_len"] >= 4, 1),
+            (f["md_title"], 4), (f["md_bullet"], 2), (f["period_density"] >= 0.005, 1), (f["keyword_hits"] >= 1, 2), (f["keyword_hits"] >= 3, 3),
+        ]
+        return F.when(f["words"] == 0, 0).otherwise(reduce(add, [F.when(c, F.lit(w)).otherwise(F.lit(0)) for c, w in rules]))
+
+    counts = ("words", "stop_hits")
+    f = legacy_features(text)
+    # words and stop words are counted first, once: densities divide by these counts
+    first = F.struct(F.char_length(text).alias("n"), *[f[k].alias(k) for k in counts])
+    rest = lambda c: legacy_features(text, c["words"], c["stop_hits"])
+    return let(first, lambda c: let(F.struct(c["n"].alias("n"), *[x.alias(k) for k, x in rest(c).items()]), score))
 
 
 def features(text: Column) -> dict[str, Column]:

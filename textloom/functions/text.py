@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from . import rules as R
 
 
+def let(value: Column, f) -> Column:
+    """f(value), in which value is evaluated once however often f names it; Spark copies a repeated expression into branches."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(text: Column) -> Column:
     """text without white space (Unicode's) at its ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
