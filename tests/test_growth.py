@@ -60,6 +60,12 @@ def test_legacy_counts_are_evaluated_once(spark):
     assert p.count("[a-zA-Z]+") == 1 and p.count("(?<![a-z])") == 1
 
 
+@needs_tables
+def test_legacy_coverage_scores_once(spark):
+    p = plan(P.QUERIES["legacy_coverage"](spark, DATA))
+    assert p.count("(?<![a-z])") == 1
+
+
 def test_legacy_score_of_odd_texts(spark):
     texts = [None, "", "1 2", "# The IMPORTANT.", "K the", "é" * 50 + " the of to", "a." * 60, "You are the one. " * 20]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")

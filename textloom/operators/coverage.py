@@ -142,11 +142,13 @@ def residual_report(found: DataFrame, show: int = 20) -> tuple[DataFrame, DataFr
 def legacy_coverage(texts: DataFrame, min_len: int = 30, min_score: int = 5) -> DataFrame:
     """One row: han_count and han_bytes (texts with Han script), residual (long and prose-like without), skipped_short, skipped_score. texts: text."""
     n, han = F.octet_length("text"), F.col("text").rlike(R.HAN_LEGACY)
-    enough = scoring.legacy_score(F.col("text")) >= min_score
-    long_ = n >= min_len
-    return texts.where(F.col("text").isNotNull()).agg(
-        F.count_if(long_ & han).alias("han_count"), F.coalesce(F.sum(F.when(long_ & han, n)), F.lit(0)).cast("long").alias("han_bytes"),
-        F.count_if(long_ & ~han & enough).alias("residual"), F.count_if(~long_).alias("skipped_short"), F.count_if(long_ & ~han & ~enough).alias("skipped_score"),
+    rows = texts.where(F.col("text").isNotNull()).select(n.alias("n"), (n >= min_len).alias("long"), han.alias("han"), "text")
+    left = F.col("long") & ~F.col("han")
+    # a score is computed once, and only where it counts
+    rows = rows.select("n", "long", "han", F.when(left, scoring.legacy_score(F.col("text")) >= min_score).alias("enough"))
+    return rows.agg(
+        F.count_if(F.col("long") & F.col("han")).alias("han_count"), F.coalesce(F.sum(F.when(F.col("long") & F.col("han"), F.col("n"))), F.lit(0)).cast("long").alias("han_bytes"),
+        F.count_if(left & F.col("enough")).alias("residual"), F.count_if(~F.col("long")).alias("skipped_short"), F.count_if(left & ~F.col("enough")).alias("skipped_score"),
     )
 
 
