@@ -70,3 +70,13 @@ def test_legacy_score_of_odd_texts(spark):
     texts = [None, "", "1 2", "# The IMPORTANT.", "K the", "é" * 50 + " the of to", "a." * 60, "You are the one. " * 20]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [r["s"] for r in df.orderBy("i").select(scoring.legacy_score(F.col("text")).alias("s")).collect()] == [0, 0, 0, 10, 2, 5, 11, 13]
+
+
+@needs_tables
+def test_hits_meet_a_broadcast_of_the_keys(spark):
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin [key_id" in plan(P.QUERIES["literal_audit"](spark, DATA), "sparkPlan")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)

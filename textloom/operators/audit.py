@@ -36,14 +36,15 @@ def by_source(sources: DataFrame, lits: DataFrame, entries: DataFrame) -> tuple[
     Entry: key_id, src_preview, src_len (bytes), allow_reorder, occurrences, in_literal, cross_literal_safe, code_region,
     placeholder_violation, risk_a, true_risk_b, scanner_fn (hits in code of a key that also stands in literals). Totals: as
     risks(), with total_hits, risk_d (pairs of hits that overlap in part, where of two with one start the shorter comes first)
-    and high_risk. An entry with other placeholders than its translation has no hits but risk_e.
+    and high_risk. An entry with other placeholders than its translation has no hits but risk_e. Hits meet a broadcast of the
+    keys' numbers and flags, as a join by shuffle would send all hits of a frequent key to one task.
     """
     bytes_ = matching.as_bytes
     keys = entries.select("key_id", bytes_(F.col("src")).alias("key"))
     found = matching.occurrences(sources.toDF("id", "source").select("id", bytes_(F.col("source"))), keys)
     has = F.size(placeholders(F.col("src"))) > 0
     marked = entries.withColumns({"marked": has, "bad": has & ~placeholders_safe(F.col("src"), F.col("dst"), F.col("allow_reorder"))})
-    hits = matching.in_spans(found, lits.select("id", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).join(marked.select("key_id", "marked", "bad"), "key_id")
+    hits = matching.in_spans(found, lits.select("id", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).join(F.broadcast(marked.select("key_id", "marked", "bad")), "key_id")
     n = lambda c: F.count_if(~F.col("bad") & c)
     per = hits.groupBy("key_id").agg(F.count("*").alias("occurrences"), n(F.col("inside")).alias("in_literal"), n(~F.col("inside") & F.col("marked")).alias("cross_literal_safe"), n(~F.col("inside") & ~F.col("marked")).alias("code_region"))
     rows = marked.join(per, "key_id", "left").na.fill(0, ["occurrences", "in_literal", "cross_literal_safe", "code_region"]).select(
@@ -75,7 +76,8 @@ def replacement_report(sources: DataFrame, lits: DataFrame, entries: DataFrame,
     missed = entries.join(bad.select("key_id"), "key_id", "left_anti").join(hits.select("key_id").distinct(), "key_id", "left_anti").select("key_id", "src")
     around = F.substring(matching.as_bytes(F.col("source")), F.greatest(F.lit(1), F.col("pos") + 1 - context).cast("int"), (F.col("len") + F.least(F.lit(context), F.col("pos")) + context).cast("int"))
     skipped = hits.where("kind = 'code'").join(sources.toDF("id", "source"), "id").select("id", "key_id", "pos", "lit_type", F.encode(around, "ISO-8859-1").cast("string").alias("context"))
-    written = replaced.where("NOT nested").join(entries.select("key_id", "dst"), "key_id").select((F.octet_length(L.encoded(F.col("dst"), F.col("lit_type"))) - F.col("len")).alias("delta"))
+    per = replaced.where("NOT nested").groupBy("key_id", "lit_type").agg(F.count("*").alias("n"), F.sum("len").alias("len"))
+    written = per.join(entries.select("key_id", "dst"), "key_id").select((F.col("n") * F.octet_length(L.encoded(F.col("dst"), F.col("lit_type"))) - F.col("len")).alias("delta"))
     pairs = conflicts(replaced.select("id", "key_id", "pos", "len")).where("pos1 < pos2")
     one = [
         replaced.agg(F.count("*").alias("hits"), F.count_if("nested").alias("nested")), missed.agg(F.count("*").alias("misses")), skipped.agg(F.count("*").alias("skips")),

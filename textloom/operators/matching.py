@@ -131,14 +131,15 @@ def as_bytes(source: Column) -> Column:
 def form_occurrences(sources: DataFrame, keys: DataFrame) -> DataFrame:
     """id, key_id, pos, len, lit_type of every occurrence, in bytes, of every form under which a key may stand in a source: raw, or escaped as in a literal.
 
-    sources: (id, source); keys: (key_id, key). A dictionary is small beside the sources; its forms go through the driver.
+    sources: (id, source); keys: (key_id, key). A dictionary is small beside the sources; its forms go through the driver, and
+    their numbers are broadcast, as a join by shuffle would send all hits of a frequent form to one task.
     """
     found = keys.toDF("key_id", "key").select("key_id", F.explode(L.forms(F.col("key"))).alias("f")).select("key_id", "f.form", "f.lit_type")
     rows = [(i, r["key_id"], r["form"], r["lit_type"]) for i, r in enumerate(found.toLocalIterator())]
     kind = keys.schema.fields[0].dataType.simpleString()
     table = sources.sparkSession.createDataFrame(rows, f"form_id long, key_id {kind}, form string, lit_type string")
     hits = occurrences(sources.toDF("id", "source").select("id", as_bytes(F.col("source"))), table.select("form_id", as_bytes(F.col("form")).alias("form")))
-    return hits.withColumnRenamed("key_id", "form_id").join(table.drop("form"), "form_id").select("id", "key_id", "pos", "len", "lit_type")
+    return hits.withColumnRenamed("key_id", "form_id").join(F.broadcast(table.drop("form")), "form_id").select("id", "key_id", "pos", "len", "lit_type")
 
 
 def replacements(sources: DataFrame, lits: DataFrame, entries: DataFrame) -> DataFrame:
@@ -153,7 +154,7 @@ def replacements(sources: DataFrame, lits: DataFrame, entries: DataFrame) -> Dat
     safe = entries.where(~has | placeholders_safe(F.col("src"), F.col("dst"), F.col("allow_reorder"))).select("key_id", "src", has.alias("marked"))
     whole = lits.join(safe.select("key_id", F.col("src").alias("text")), "text").select("id", "key_id", F.col("start_off").alias("pos"), (F.col("end_off") - F.col("start_off")).alias("len"), "lit_type", F.lit("whole").alias("kind"))
     rest = form_occurrences(sources, safe.select("key_id", "src")).join(whole.select("id", "key_id").distinct(), ["id", "key_id"], "left_anti")
-    placed = in_spans(rest, lits.select("id", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).join(safe.select("key_id", "marked"), "key_id")
+    placed = in_spans(rest, lits.select("id", F.col("start_off").alias("start"), F.col("end_off").alias("end"))).join(F.broadcast(safe.select("key_id", "marked")), "key_id")
     kind = F.when(F.col("inside"), "inside").when(F.col("marked"), "crossing").otherwise("code")
     return whole.unionByName(placed.select("id", "key_id", "pos", "len", "lit_type", kind.alias("kind")))
 
