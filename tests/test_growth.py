@@ -80,3 +80,8 @@ def test_hits_meet_a_broadcast_of_the_keys(spark):
         assert "BroadcastHashJoin [key_id" in plan(P.QUERIES["literal_audit"](spark, DATA), "sparkPlan")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
+@needs_tables
+def test_counters_scan_sources_once(spark):
+    assert plan(P.QUERIES["extract_counters"](spark, DATA)).count("MapInArrow") == 2  # literals, and keys in texts

@@ -87,16 +87,19 @@ def length_buckets(spark, d):
     return coverage.length_buckets(documents(spark, d), F.char_length("text"))
 
 
-def _status(spark, d):
-    """Each document's status; texts are compared by digests, so they are not shuffled."""
+def _covered(spark, d):
+    """Each document with same (its text is a key) and part (a key stands in it); texts are compared by digests, so they are not shuffled."""
     keys, digest = _keys(spark, d), F.sha2(F.col("text").cast("binary"), 256)
     docs = documents(spark, d).select("doc_id", "text", digest.alias("digest"))
     found = matching.contained(docs.select("doc_id", "text"), keys).select(F.col("id").alias("doc_id")).distinct().withColumn("part", F.lit(True))
     same = keys.select(F.sha2(F.col("key").cast("binary"), 256).alias("digest")).distinct().withColumn("same", F.lit(True))
     both = docs.join(same, "digest", "left").join(found, "doc_id", "left")
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return both.select("doc_id", "text", *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("same", "part")])
+
+
+def _status(spark, d):
     white = text.whitelisted(F.col("text"), X.EXACT, X.REGEX, X.LITERAL)
-    return both.select("doc_id", "text", coverage.status(yes("same"), yes("part"), F.col("text"), white).alias("status"))
+    return _covered(spark, d).select("doc_id", "text", coverage.status(F.col("same"), F.col("part"), F.col("text"), white).alias("status"))
 
 
 @query
