@@ -55,6 +55,12 @@ def test_islands_leave_texts_behind(spark):
     assert p.rindex("Window") < p.index("RLIKE")  # patterns are looked for below the sorts
 
 
+@needs_tables
+def test_scores_of_work_items_are_computed_once(spark):
+    made = P.QUERIES["work_groups"](spark, DATA)
+    assert "markdown" not in plan(made) and "RLIKE" not in plan(made)  # what is numbered was written before
+
+
 def test_legacy_counts_are_evaluated_once(spark):
     p = plan(spark.createDataFrame([("The word.",)], "text string").select(scoring.legacy_score(F.col("text")).alias("s")))
     assert p.count("[a-zA-Z]+") == 1 and p.count("(?<![a-z])") == 1

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules as R
 from ..functions.text import strip
+from ..sources.tables import cut
 
 
 def duplicate_sources(entries: DataFrame, src: str = "src") -> DataFrame:
@@ -96,9 +97,12 @@ def work_items(reports: DataFrame) -> DataFrame:
 
 
 def work_groups(items: DataFrame, n: int) -> DataFrame:
-    """items with part: dealt in turn to n parts in the order of score, then length, the larger first, then text."""
+    """items with part: dealt in turn to n parts in the order of score, then length, the larger first, then text.
+
+    Items are read three times for it, so they are written once to the shared folder first.
+    """
     lead = -(F.col("score") * F.lit(float(1 << 32)) + F.col("len"))
-    return round_robin(items, n, lead, "src")
+    return round_robin(cut(items), n, lead, "src")
 
 
 def merge_versions(items: DataFrame) -> DataFrame:
